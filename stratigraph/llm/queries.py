@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratigraph.llm import bpe, packing, rank_walk
+from stratigraph.llm import bpe, language, packing, rank_walk
 from stratigraph.session import table
 
 
@@ -35,5 +35,22 @@ def p9_report(spark, d):
     return p.agg(F.count_distinct(F.when(F.col("size") > 0, F.col("container"))).alias("containers"), F.sum("size").alias("tokens"), F.ceil(F.sum("size") / 4096).alias("least_containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_report": p9_report}
+def _segments(spark, d):
+    docs, names = table(spark, d, "documents"), table(spark, d, "languages")
+    return language.segments(docs, language.train_on(docs, names), label=language.label_code(F.col("lang"), names))
+
+
+def p10_found(spark, d):
+    return language.wrong_labels(language.document_languages(_segments(spark, d))).select("doc_id", "lang")
+
+
+def p10_segments(spark, d):
+    return _segments(spark, d).select("doc_id", "seg_start", "seg_end", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p10_documents(spark, d):
+    return language.document_languages(_segments(spark, d)).select("doc_id", "lang", F.round("confidence", 4).alias("confidence"), "n_sentences")
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 SQL = {}
