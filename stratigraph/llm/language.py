@@ -185,8 +185,11 @@ class Model:
         self.codes, self.idf, self.w, self.t, self.accuracy = codes, idf, w, t, accuracy
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        idx, counts = features(texts)
-        return logits(idx, weights_of(idx, counts, self.idf), counts, self.w)
+        out = []
+        for i in range(0, len(texts), 2000):  # slices of bounded memory
+            idx, counts = features(texts[i : i + 2000])
+            out.append(logits(idx, weights_of(idx, counts, self.idf), counts, self.w))
+        return np.concatenate(out)
 
     def predict(self, texts: list[str]) -> np.ndarray:
         if not texts:
