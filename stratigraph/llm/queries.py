@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratigraph.llm import bpe, language, neighbours, packing, rank_walk, syntax
+from stratigraph.llm import bpe, language, neighbours, packing, provenance, rank_walk, syntax
 from stratigraph.session import table
 
 
@@ -18,6 +18,14 @@ def p1_ranking(spark, d):
     return r.select("query_id", "item_id", F.round("weight", 9).alias("weight"), "place")
 
 
+def p2_found(spark, d):
+    return provenance.provenance(table(spark, d, "files")).where("reason != ''").select("repo", "path")
+
+
+def p2_reasons(spark, d):
+    return provenance.provenance(table(spark, d, "files"))
+
+
 def p3_found(spark, d):
     return syntax.parse_files(table(spark, d, "files")).where("error_line > 0").select("repo", "path")
 
@@ -74,5 +82,5 @@ def p10_documents(spark, d):
     return language.document_languages(_segments(spark, d)).select("doc_id", "lang", F.round("confidence", 4).alias("confidence"), "n_sentences")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 SQL = {}
