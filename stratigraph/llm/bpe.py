@@ -143,8 +143,8 @@ def encoder(path: str) -> Encoder:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows in at least two partitions a core: costly Python work must not wait for a few large files."""
-    want = 2 * df.sparkSession.sparkContext.defaultParallelism
+    """Rows in at least a partition a core: costly Python work must not wait for a few large files."""
+    want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratigraph.llm.bpe import spread
@@ -53,6 +53,8 @@ _TOP = re.compile(r"\A(?:\s*(?://[^\n]*|/\*[\s\S]*?\*/|#(?![!\[])[^\n]*|#![^\n]*
 _ACCESSOR = re.compile(r"^\s*return (?:self|this|m|[a-z])\.\w+(?:\[\d+\])?;?\s*$|^\s*(?:self|this)\.\w+ = \w+;?\s*$|\{\s*(?:return )?[\w.]+(?:\[\d+\])?;?\s*\}|\{\s*[\w.]+(?:\[\d+\])?\s*=\s*\w+;\s*\}", re.M)
 _NUMBER = re.compile(r"-?\b\d[\w.]*")
 _NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_HASHES: dict[str, int] = {}
 SHINGLE = 5
 
 
@@ -79,6 +81,11 @@ def content_evidence(text: str | None, ext: str = "") -> str:
         for line in top[0].split("\n"):
             if MADE_BY_TOOL.search(line) and not _STUB.search(line):
                 return "generated"
+    acc = len(_ACCESSOR.findall(text))
+    blank = sum(map(text.count, " \n\t")) / len(text)
+    digits = sum(map(text.count, "0123456789")) / len(text)
+    if acc < 6 and blank > 0.14 and digits < 0.1:
+        return ""  # neither dense nor full of numbers nor of accessors
     code, strings = split_code(text)
     lines = [x.strip() for x in code.split("\n") if x.strip()]
     if not lines:
@@ -107,7 +114,13 @@ def content_evidence(text: str | None, ext: str = "") -> str:
 def shingles(text: str) -> np.ndarray:
     """Distinct 60-bit hashes of the five-word shingles of the code without comments."""
     code = _COMMENTS.sub(" ", text)
-    w = np.fromiter((zlib.crc32(t.encode()) for t in re.findall(r"\w+|[^\w\s]", code)), np.uint64)
+    toks = _TOKEN.findall(code)
+    for t in set(toks).difference(_HASHES):
+        if len(_HASHES) > 200_000:
+            _HASHES.clear()
+            return shingles(text)
+        _HASHES[t] = zlib.crc32(t.encode())
+    w = np.fromiter(map(_HASHES.__getitem__, toks), np.uint64, len(toks))
     if len(w) < SHINGLE:
         return np.zeros(0, np.int64)
     h = np.zeros(len(w) - SHINGLE + 1, np.uint64)
@@ -190,45 +203,82 @@ def declared(cur: DataFrame) -> DataFrame:
 # ---- copies
 
 
-def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5) -> DataFrame:
-    """k1, k2 of texts that are copies of a vendored text. ``texts``: k1, k2, content, origin; a row per distinct text."""
+class Known:
+    """Shingles of vendored texts with how many such texts have each; of a size checked before it is shipped."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, h: np.ndarray, df: np.ndarray):
+        o = np.argsort(h)
+        self.h, self.df = h[o], df[o]
+
+    def found(self, text: str, similarity: float) -> tuple[int, list[int]]:
+        """Number of shingles of a text, and its known ones, rarest first, if they are enough for any similar text."""
+        s = shingles(text)
+        if not len(s) or not len(self.h):
+            return len(s), []
+        i = np.minimum(np.searchsorted(self.h, s), len(self.h) - 1)
+        hit = self.h[i] == s
+        if hit.sum() < similarity * len(s):
+            return len(s), []
+        s, d = s[hit], self.df[i[hit]]
+        return int(len(hit)), s[np.lexsort((s, d))].tolist()
+
+
+def vendored_shingles(texts: DataFrame) -> DataFrame:
+    """k1, k2, n, hs: the shingles of each distinct text. ``texts``: k1, k2, content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 500):
-                p = b.iloc[i : i + 500]
-                hs = [shingles(t) for t in p["content"]]
-                n = [len(h) for h in hs]
-                yield pd.DataFrame({"k1": np.repeat(p["k1"].to_numpy(), n), "k2": np.repeat(p["k2"].to_numpy(), n), "n": np.repeat(n, n).astype(np.int32), "h": np.concatenate(hs) if hs else []})
-
-    schema = "k1 bigint, k2 bigint, n int, h bigint"
-    v = spread(texts.where("origin").select("k1", "k2", "content")).mapInPandas(explode, schema)
-    x = spread(texts.where("not origin").select("k1", "k2", "content")).mapInPandas(explode, schema)
-    df = v.groupBy("h").agg(F.count("*").alias("df"))
-    # only shingles that occur in a vendored text go on; the count per text decides whether it can be similar at all
-    seen = cut(x.join(df, "h"))
-    able = seen.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= similarity * F.col("n")).select("k1", "k2", "m")
-    # of the m shingles found, a similar text holds ceil(similarity * n) at least: one of the rarest m - that + 1
-    w = Window.partitionBy("k1", "k2").orderBy("df", "h")
-    rare = seen.join(able, ["k1", "k2"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("m") - F.ceil(similarity * F.col("n")) + 1)
-    vv = v.select("h", F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("n").alias("vn"))
-    big = F.col("vn").between(similarity * F.col("n"), F.col("n") / similarity)
-    cand = rare.select("h", "k1", "k2", "n").join(vv, "h").where(big).select("k1", "k2", "v1", "v2").distinct()
-    pairs = cand.join(texts.select("k1", "k2", "content"), ["k1", "k2"]).join(texts.select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("content").alias("vc")), ["v1", "v2"])
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, memo = [], {}
-        for s, t in zip(a, b):
-            for y in (s, t):
-                if y not in memo:
-                    memo[y] = shingles(y)
-            p, q = memo[s], memo[t]
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(bool(both and both >= overlap * min(len(p), len(q)) and both >= similarity * (len(p) + len(q) - both)))
-        return pd.Series(out, dtype=bool)
-
-    return pairs.where(alike("content", "vc")).select("k1", "k2").distinct()
+            hs = [shingles(t).tolist() for t in b["content"]]
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n": [len(h) for h in hs], "hs": hs})
+
+    return texts.mapInPandas(run, "k1 bigint, k2 bigint, n int, hs array<bigint>").where("n > 0").dropDuplicates(["k1", "k2"])
+
+
+def survivors_by_join(texts: DataFrame, dfs: DataFrame, similarity: float) -> DataFrame:
+    """k1, k2, n, found, as ``Known.found`` gives them, by a shuffle join: for vendored sets too large to ship."""
+    x = vendored_shingles(texts).select("k1", "k2", "n", F.explode("hs").alias("h")).join(dfs, "h")
+    g = x.groupBy("k1", "k2", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("a"))
+    return g.where(F.size("a") >= similarity * F.col("n")).select("k1", "k2", "n", F.transform("a", lambda e: e["h"]).alias("found"))
+
+
+def match_copies(surv: DataFrame, v: DataFrame, overlap: float, similarity: float) -> DataFrame:
+    """k1, k2 of texts similar to a vendored one. ``surv``: k1, k2, n, found; ``v``: k1, k2, n, hs."""
+    # of the shingles found, a similar text holds ceil(similarity * n) at least: one of the rarest rest + 1
+    pre = surv.select("k1", "k2", "n", F.explode(F.slice("found", 1, (F.size("found") - F.ceil(similarity * F.col("n")) + 1).cast("int"))).alias("h"))
+    vv = v.select(F.explode("hs").alias("h"), F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("n").alias("vn"))
+    cand = pre.join(vv, "h").where(F.col("vn").between(similarity * F.col("n"), F.col("n") / similarity)).select("k1", "k2", "v1", "v2").distinct()
+    pairs = cand.join(surv, ["k1", "k2"]).join(v.select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("n").alias("vn"), "hs"), ["v1", "v2"])
+    both = F.size(F.array_intersect("found", "hs"))
+    return pairs.where((both >= overlap * F.least("n", "vn")) & (both >= similarity * (F.col("n") + F.col("vn") - both))).select("k1", "k2").distinct()
+
+
+def known_shingles(dfs: DataFrame, max_known: int) -> Known | None:
+    """The shingles as arrays if there are at most ``max_known``, else None."""
+    n = dfs.limit(max_known + 1).count()
+    if n > max_known:
+        return None
+    p = dfs.toPandas()
+    return Known(p["h"].to_numpy(np.int64), p["df"].to_numpy(np.int64))
+
+
+def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 2_000_000) -> DataFrame:
+    """k1, k2 of texts that are copies of a vendored text. ``texts``: k1, k2, content, origin."""
+    v = cut(vendored_shingles(texts.where("origin").select("k1", "k2", "content")))
+    dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    x = texts.where("not origin").select("k1", "k2", "content")
+    known = known_shingles(dfs, max_known)
+    if known is None:
+        surv = survivors_by_join(x, dfs, similarity)
+    else:
+        box = texts.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(a, c, *box.value.found(t, similarity)) for a, c, t in zip(b["k1"], b["k2"], b["content"])]
+                yield pd.DataFrame([r for r in rows if r[3]], columns=["k1", "k2", "n", "found"])
+
+        surv = x.mapInPandas(run, "k1 bigint, k2 bigint, n int, found array<bigint>").dropDuplicates(["k1", "k2"])
+    return match_copies(cut(surv), v, overlap, similarity)
 
 
 # ---- mined patterns
@@ -250,28 +300,62 @@ def mined_patterns(judged: DataFrame, precision: float = 0.98, support: int = 20
     return g.where((F.col("files") >= support) & (F.col("repos") >= repos) & (F.col("hits") >= precision * F.col("files"))).select("pattern", "files", (F.col("hits") / F.col("files")).alias("share"))
 
 
-def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5) -> DataFrame:
-    """repo, path, reason (empty for hand-written source) of every current file."""
-    cur = current_files(files)
-    cur = cur.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).withColumn("vendored", F.col("path").rlike(VENDOR_DIR))
-    cur = cut(cur.withColumn("k1", F.xxhash64("content")).withColumn("k2", F.xxhash64(F.lit(5), "content")))
-    texts = cur.where("content is not null and content != '' and ext != 'md'").groupBy("k1", "k2").agg(F.first("content").alias("content"), F.first("ext").alias("ext"), F.max("vendored").alias("origin"))
-    texts = cut(texts)
-
-    @F.pandas_udf("string")
-    def look(t: pd.Series, ext: pd.Series) -> pd.Series:
-        return pd.Series([content_evidence(a, b) for a, b in zip(t, ext)])
-
-    ev = spread(texts).select("k1", "k2", "origin", look("content", "ext").alias("ev"))
-    cp = copies(texts.select("k1", "k2", "content", "origin"), overlap, similarity).withColumn("copied", F.lit(True))
-    ev = ev.join(cp, ["k1", "k2"], "left")
-    slim = cur.select("repo", "path", "ext", "vendored", "k1", "k2").join(ev, ["k1", "k2"], "left").join(declared(cur), ["repo", "path"], "left")
-    found = F.when(F.col("vendored"), "vendored").when(F.col("ext") == "md", "").when(F.coalesce("ev", F.lit("")) != "", F.col("ev")).when(F.col("copied") | F.col("origin"), "copied").otherwise("")
+def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 2_000_000) -> DataFrame:
+    """repo, path, reason (empty for hand-written source) of every current file.
+
+    Contents are looked at where they are read and never shuffled: a first pass takes the shingles of vendored texts, a
+    second one gives each row its evidence and the few shingles it shares with those; only such short rows move on.
+    """
+    old = F.lit("0001-01-01").cast("timestamp")
+    rows = files.where("repo is not null and path is not null").select(
+        "repo", "path", F.struct(F.coalesce("mtime", old).alias("m"), F.coalesce("ingested_at", old).alias("g"), F.coalesce(F.xxhash64("content"), F.lit(0)).alias("k")).alias("at"),
+        F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"), F.col("path").rlike(VENDOR_DIR).alias("vendored"),
+        F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(5), "content").alias("k2"), "content",
+    )
+    v = cut(vendored_shingles(rows.where("vendored and content is not null and ext != 'md'").select("k1", "k2", "content")))
+    dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    known = known_shingles(dfs, max_known)
+    box = files.sparkSession.sparkContext.broadcast(known)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kn = box.value
+        memo: dict[tuple, tuple] = {}
+        for b in batches:
+            out = []
+            for k1, k2, ext, own, t in zip(b["k1"], b["k2"], b["ext"], b["vendored"], b["content"]):
+                if t is None or t == "" or ext == "md" or own:
+                    out.append(("", 0, []))
+                    continue
+                key = (k1, k2, ext)
+                if key not in memo:
+                    if len(memo) > 20_000:
+                        memo.clear()
+                    ev = content_evidence(t, ext)
+                    memo[key] = (ev, *(kn.found(t, similarity) if kn is not None and not ev else (0, [])))
+                out.append(memo[key])
+            b = b.drop(columns=["content"])
+            b["ev"], b["n"], b["found"] = ([o[i] for o in out] for i in range(3))
+            yield b
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "content") + ", ev string, n int, found array<bigint>"
+    seen = spread(rows).mapInPandas(look, schema)
+    # the current version of each file, in short rows
+    names = [c for c in ("ext", "vendored", "k1", "k2", "ev", "n", "found")]
+    cur = cut(seen.groupBy("repo", "path").agg(F.max_by(F.struct(*names), "at").alias("c")).select("repo", "path", *[F.col(f"c.{c}").alias(c) for c in names]))
+    if known is None:
+        keys = cur.where("not vendored and ev = '' and ext != 'md'").select("k1", "k2").distinct()
+        surv = survivors_by_join(rows.where("content is not null").select("k1", "k2", "content").join(keys, ["k1", "k2"], "left_semi"), dfs, similarity)
+    else:
+        surv = cur.where("size(found) > 0").select("k1", "k2", "n", "found").dropDuplicates(["k1", "k2"])
+    cp = match_copies(surv, v, overlap, similarity).union(v.select("k1", "k2")).distinct().withColumn("copied", F.lit(True))
+    attr_files = current_files(files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))).select("repo", "path", "content")
+    slim = cur.select("repo", "path", "ext", "vendored", "k1", "k2", "ev").join(cp, ["k1", "k2"], "left").join(declared(cur.select("repo", "path").join(attr_files, ["repo", "path"], "left")), ["repo", "path"], "left")
+    found = F.when(F.col("vendored"), "vendored").when(F.col("ext") == "md", "").when(F.col("ev") != "", F.col("ev")).when(F.col("copied"), "copied").otherwise("")
     judged = cut(slim.select("repo", "path", "ext", "declared", found.alias("reason")))
     # mined patterns: a few, each backed by many files; a missing reason is looked up by pattern
     pats = mined_patterns(judged.where("ext != 'md' and declared is null"))
-    with_attrs = cur.where(F.col("path").rlike(r"(^|/)\.gitattributes$")).select("repo").distinct()
-    undeclared = judged.where("reason = '' and declared is null and ext != 'md'").join(with_attrs, "repo", "left_anti").select("repo", "path", F.explode(path_patterns(F.col("path"))).alias("pattern"))
+    undeclared = judged.where("reason = '' and declared is null and ext != 'md'").join(attr_files.select("repo").distinct(), "repo", "left_anti").select("repo", "path", F.explode(path_patterns(F.col("path"))).alias("pattern"))
     by_pattern = undeclared.join(pats, "pattern").select("repo", "path").distinct().withColumn("pattern", F.lit("pattern"))
     return judged.join(by_pattern, ["repo", "path"], "left").select(
         "repo", "path", F.when(F.col("declared") == "none", "").when(F.col("declared").isNotNull(), F.concat(F.lit("declared "), "declared")).when(F.col("reason") != "", F.col("reason")).otherwise(F.coalesce("pattern", F.lit(""))).alias("reason")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratigraph.llm import bpe, language, neighbours, packing, provenance, rank_walk, syntax
+from stratigraph.llm import bpe, docpairs, language, neighbours, packing, provenance, rank_walk, syntax
 from stratigraph.session import table
 
 
@@ -38,6 +38,15 @@ def p3_rates(spark, d):
     return syntax.error_rates(syntax.parse_files(table(spark, d, "files")))
 
 
+def p4_found(spark, d):
+    # inherited descriptions are a pointer elsewhere: no case
+    return docpairs.pairs(table(spark, d, "declarations"), table(spark, d, "files")).where("origin = 'own'").select("decl_id")
+
+
+def p4_pairs(spark, d):
+    return docpairs.pairs(table(spark, d, "declarations"), table(spark, d, "files"))
+
+
 def p7_found(spark, d):
     p = neighbours.similar_pairs(neighbours.nearest(table(spark, d, "chunk_vec")), 0.85)
     return p.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
@@ -82,5 +91,5 @@ def p10_documents(spark, d):
     return language.document_languages(_segments(spark, d)).select("doc_id", "lang", F.round("confidence", 4).alias("confidence"), "n_sentences")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pairs": p4_pairs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 SQL = {}
