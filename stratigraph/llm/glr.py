@@ -153,28 +153,21 @@ class Tables:
             self.goto.append(go)
         self.left = [p[0] for p in prods]
         self.size = [len(p[1]) for p in prods]
+        self.jump: dict[tuple[int, int, str], int] = {}
+
+    def land(self, state: int, name: str, term: str) -> int:
+        """State after reducing to a rule, past all reductions by one symbol that must follow before ``term``."""
+        while True:
+            s = self.goto[state][name]
+            acts = self.action[s].get(term)
+            if acts is None or len(acts) > 1 or acts[0] >= 0 or self.size[-acts[0]] != 1:
+                return s
+            name = self.left[-acts[0]]
 
 
 def step(tables: Tables, heads: list[tuple], term: str) -> list[tuple] | None:
     """Heads after a token; None for acceptance at the end; empty if no stack survives."""
-    action, goto, left, size = tables.action, tables.goto, tables.left, tables.size
-    if len(heads) == 1:  # deterministic as long as there is one action
-        node = heads[0]
-        while True:
-            acts = action[node[0]].get(term)
-            if acts is None:
-                return []
-            if len(acts) > 1:
-                break
-            a = acts[0]
-            if a > 0:
-                return [(a, node)]
-            if a == 0:
-                return None
-            for _ in range(size[-a]):
-                node = node[1]
-            node = (goto[node[0]][left[-a]], node)
-        heads = [node]
+    action, left, size, land = tables.action, tables.left, tables.size, tables.land
     made: dict[tuple[int, int], tuple] = {}
     shifted: dict[tuple[int, int], tuple] = {}
     work = list(heads)
@@ -188,7 +181,7 @@ def step(tables: Tables, heads: list[tuple], term: str) -> list[tuple] | None:
                 base = node
                 for _ in range(size[-a]):
                     base = base[1]
-                s = goto[base[0]][left[-a]]
+                s = land(base[0], left[-a], term)
                 if (s, id(base)) not in made:
                     made[s, id(base)] = new = (s, base)
                     work.append(new)
@@ -201,10 +194,39 @@ def recognise(tables: Tables, tokens: list[tuple[str, int, bool]], insert: str =
     ``tokens`` are (terminal, line, line break before). ``insert``: a terminal that may be put in before a token that
     follows a line break, or is a closing brace or the end, when it does not fit otherwise.
     """
+    action, left, size, jump, land = tables.action, tables.left, tables.size, tables.jump, tables.land
     heads: list[tuple] = [(0, None)]
     line = 1
     for term, line, broke in tokens:
-        after = step(tables, heads, term)
+        after: list[tuple] | None = None
+        if len(heads) == 1:  # deterministic as long as there is one action
+            node = heads[0]
+            while True:
+                acts = action[node[0]].get(term)
+                if acts is None:
+                    after = []
+                    break
+                if len(acts) > 1:
+                    heads = [node]
+                    after = step(tables, heads, term)
+                    break
+                a = acts[0]
+                if a > 0:
+                    after = [(a, node)]
+                    break
+                if a == 0:
+                    return 0
+                n = size[-a]
+                while n:
+                    node = node[1]
+                    n -= 1
+                b = node[0]
+                s = jump.get((b, -a, term))
+                if s is None:
+                    s = jump[b, -a, term] = land(b, left[-a], term)
+                node = (s, node)
+        else:
+            after = step(tables, heads, term)
         if insert and broke and after and term in ("++", "--"):  # a line break may end the statement before these
             more = step(tables, heads, insert)
             after = after + (step(tables, more, term) or [] if more else [])

@@ -204,23 +204,30 @@ def declared(cur: DataFrame) -> DataFrame:
 
 
 class Known:
-    """Shingles of vendored texts with how many such texts have each; of a size checked before it is shipped."""
-
-    def __init__(self, h: np.ndarray, df: np.ndarray):
-        o = np.argsort(h)
-        self.h, self.df = h[o], df[o]
-
-    def found(self, text: str, similarity: float) -> tuple[int, list[int]]:
-        """Number of shingles of a text, and its known ones, rarest first, if they are enough for any similar text."""
+    """Vendored texts by their shingles, of a size checked before it is shipped; tells which texts are copies."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        h = np.concatenate([np.asarray(x, np.int64) for x in sets]) if sets else np.zeros(0, np.int64)
+        own = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        o = np.argsort(h, kind="stable")
+        self.text = own[o]
+        self.h, self.start = np.unique(h[o], return_index=True)
+        self.end = np.r_[self.start[1:], len(h)] if len(h) else self.start
+
+    def copied(self, text: str, overlap: float, similarity: float) -> bool:
+        """Whether some vendored text overlaps this one enough: exact counts, by the lists of its shingles."""
         s = shingles(text)
         if not len(s) or not len(self.h):
-            return len(s), []
+            return False
         i = np.minimum(np.searchsorted(self.h, s), len(self.h) - 1)
-        hit = self.h[i] == s
-        if hit.sum() < similarity * len(s):
-            return len(s), []
-        s, d = s[hit], self.df[i[hit]]
-        return int(len(hit)), s[np.lexsort((s, d))].tolist()
+        i = i[self.h[i] == s]
+        if len(i) < similarity * len(s):
+            return False  # all of them together are too few for any one
+        a, k = self.start[i], self.end[i] - self.start[i]
+        at = np.repeat(a - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
+        both = np.bincount(self.text[at], minlength=len(self.n))
+        return bool(((both >= overlap * np.minimum(self.n, len(s))) & (both >= similarity * (self.n + len(s) - both))).any())
 
 
 def vendored_shingles(texts: DataFrame) -> DataFrame:
@@ -235,7 +242,7 @@ def vendored_shingles(texts: DataFrame) -> DataFrame:
 
 
 def survivors_by_join(texts: DataFrame, dfs: DataFrame, similarity: float) -> DataFrame:
-    """k1, k2, n, found, as ``Known.found`` gives them, by a shuffle join: for vendored sets too large to ship."""
+    """k1, k2, n, found: texts with enough known shingles, these rarest first; for vendored sets too large to ship."""
     x = vendored_shingles(texts).select("k1", "k2", "n", F.explode("hs").alias("h")).join(dfs, "h")
     g = x.groupBy("k1", "k2", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("a"))
     return g.where(F.size("a") >= similarity * F.col("n")).select("k1", "k2", "n", F.transform("a", lambda e: e["h"]).alias("found"))
@@ -252,33 +259,27 @@ def match_copies(surv: DataFrame, v: DataFrame, overlap: float, similarity: floa
     return pairs.where((both >= overlap * F.least("n", "vn")) & (both >= similarity * (F.col("n") + F.col("vn") - both))).select("k1", "k2").distinct()
 
 
-def known_shingles(dfs: DataFrame, max_known: int) -> Known | None:
-    """The shingles as arrays if there are at most ``max_known``, else None."""
-    n = dfs.limit(max_known + 1).count()
-    if n > max_known:
-        return None
-    p = dfs.toPandas()
-    return Known(p["h"].to_numpy(np.int64), p["df"].to_numpy(np.int64))
+def known_texts(v: DataFrame, max_known: int) -> Known | None:
+    """The vendored texts as arrays if they have at most ``max_known`` shingles, else None."""
+    n = v.agg(F.sum("n")).first()[0] or 0
+    return Known(v.select("hs").toPandas()["hs"].tolist()) if n <= max_known else None
 
 
-def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 2_000_000) -> DataFrame:
+def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 4_000_000) -> DataFrame:
     """k1, k2 of texts that are copies of a vendored text. ``texts``: k1, k2, content, origin."""
     v = cut(vendored_shingles(texts.where("origin").select("k1", "k2", "content")))
-    dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     x = texts.where("not origin").select("k1", "k2", "content")
-    known = known_shingles(dfs, max_known)
+    known = known_texts(v, max_known)
     if known is None:
-        surv = survivors_by_join(x, dfs, similarity)
-    else:
-        box = texts.sparkSession.sparkContext.broadcast(known)
+        dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+        return match_copies(cut(survivors_by_join(x, dfs, similarity)), v, overlap, similarity)
+    box = texts.sparkSession.sparkContext.broadcast(known)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = [(a, c, *box.value.found(t, similarity)) for a, c, t in zip(b["k1"], b["k2"], b["content"])]
-                yield pd.DataFrame([r for r in rows if r[3]], columns=["k1", "k2", "n", "found"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[box.value.copied(t, overlap, similarity) for t in b["content"]], ["k1", "k2"]]
 
-        surv = x.mapInPandas(run, "k1 bigint, k2 bigint, n int, found array<bigint>").dropDuplicates(["k1", "k2"])
-    return match_copies(cut(surv), v, overlap, similarity)
+    return x.mapInPandas(run, "k1 bigint, k2 bigint").distinct()
 
 
 # ---- mined patterns
@@ -300,11 +301,11 @@ def mined_patterns(judged: DataFrame, precision: float = 0.98, support: int = 20
     return g.where((F.col("files") >= support) & (F.col("repos") >= repos) & (F.col("hits") >= precision * F.col("files"))).select("pattern", "files", (F.col("hits") / F.col("files")).alias("share"))
 
 
-def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 2_000_000) -> DataFrame:
+def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 4_000_000) -> DataFrame:
     """repo, path, reason (empty for hand-written source) of every current file.
 
     Contents are looked at where they are read and never shuffled: a first pass takes the shingles of vendored texts, a
-    second one gives each row its evidence and the few shingles it shares with those; only such short rows move on.
+    second one gives each row its evidence and compares it with those; only short rows move on.
     """
     old = F.lit("0001-01-01").cast("timestamp")
     rows = files.where("repo is not null and path is not null").select(
@@ -313,8 +314,7 @@ def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5,
         F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(5), "content").alias("k2"), "content",
     )
     v = cut(vendored_shingles(rows.where("vendored and content is not null and ext != 'md'").select("k1", "k2", "content")))
-    dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    known = known_shingles(dfs, max_known)
+    known = known_texts(v, max_known)
     box = files.sparkSession.sparkContext.broadcast(known)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,34 +324,34 @@ def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5,
             out = []
             for k1, k2, ext, own, t in zip(b["k1"], b["k2"], b["ext"], b["vendored"], b["content"]):
                 if t is None or t == "" or ext == "md" or own:
-                    out.append(("", 0, []))
+                    out.append(("", False))
                     continue
                 key = (k1, k2, ext)
                 if key not in memo:
                     if len(memo) > 20_000:
                         memo.clear()
                     ev = content_evidence(t, ext)
-                    memo[key] = (ev, *(kn.found(t, similarity) if kn is not None and not ev else (0, [])))
+                    memo[key] = (ev, bool(kn is not None and not ev and kn.copied(t, overlap, similarity)))
                 out.append(memo[key])
             b = b.drop(columns=["content"])
-            b["ev"], b["n"], b["found"] = ([o[i] for o in out] for i in range(3))
+            b["ev"], b["copied"] = ([o[i] for o in out] for i in range(2))
             yield b
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "content") + ", ev string, n int, found array<bigint>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "content") + ", ev string, copied boolean"
     seen = spread(rows).mapInPandas(look, schema)
     # the current version of each file, in short rows
-    names = [c for c in ("ext", "vendored", "k1", "k2", "ev", "n", "found")]
+    names = [c for c in ("ext", "vendored", "k1", "k2", "ev", "copied")]
     cur = cut(seen.groupBy("repo", "path").agg(F.max_by(F.struct(*names), "at").alias("c")).select("repo", "path", *[F.col(f"c.{c}").alias(c) for c in names]))
+    same = v.select("k1", "k2").withColumn("same", F.lit(True))  # exact copies
     if known is None:
         keys = cur.where("not vendored and ev = '' and ext != 'md'").select("k1", "k2").distinct()
+        dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
         surv = survivors_by_join(rows.where("content is not null").select("k1", "k2", "content").join(keys, ["k1", "k2"], "left_semi"), dfs, similarity)
-    else:
-        surv = cur.where("size(found) > 0").select("k1", "k2", "n", "found").dropDuplicates(["k1", "k2"])
-    cp = match_copies(surv, v, overlap, similarity).union(v.select("k1", "k2")).distinct().withColumn("copied", F.lit(True))
+        same = match_copies(surv, v, overlap, similarity).withColumn("same", F.lit(True)).unionByName(same).distinct()
     attr_files = current_files(files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))).select("repo", "path", "content")
-    slim = cur.select("repo", "path", "ext", "vendored", "k1", "k2", "ev").join(cp, ["k1", "k2"], "left").join(declared(cur.select("repo", "path").join(attr_files, ["repo", "path"], "left")), ["repo", "path"], "left")
-    found = F.when(F.col("vendored"), "vendored").when(F.col("ext") == "md", "").when(F.col("ev") != "", F.col("ev")).when(F.col("copied"), "copied").otherwise("")
+    slim = cur.select("repo", "path", "ext", "vendored", "k1", "k2", "ev", "copied").join(same, ["k1", "k2"], "left").join(declared(cur.select("repo", "path").join(attr_files, ["repo", "path"], "left")), ["repo", "path"], "left")
+    found = F.when(F.col("vendored"), "vendored").when(F.col("ext") == "md", "").when(F.col("ev") != "", F.col("ev")).when(F.col("copied") | F.col("same"), "copied").otherwise("")
     judged = cut(slim.select("repo", "path", "ext", "declared", found.alias("reason")))
     # mined patterns: a few, each backed by many files; a missing reason is looked up by pattern
     pats = mined_patterns(judged.where("ext != 'md' and declared is null"))

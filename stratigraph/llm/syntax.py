@@ -28,11 +28,14 @@ EXTENSIONS = {"py": "py", "ts": "ts", "js": "js", "go": "go", "java": "java", "r
 _STR = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 _NUM = r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?"
-_WORD = r"(?!\d)\w+"
+_WORD = r"(?!\d)\w++"
 
 
 def _lexer(*pairs: tuple[str, str]) -> re.Pattern:
-    return re.compile("|".join(f"(?P<{n}>{p})" for n, p in [*pairs, ("BAD", r"[\s\S]")]))
+    """Tokens by name; the first pair is what may stand before any token. Words and brackets, the most frequent, come first."""
+    word = next(p for n, p in pairs if n == "WORD")
+    rest = [x for x in pairs[1:] if x[0] != "WORD"]
+    return re.compile(f"(?:{pairs[0][1]})?(?:" + "|".join(f"(?P<{n}>{p})" for n, p in [("WORD", word), ("P", r"[()\[\]{},;]"), *rest, ("BAD", r"[\s\S]")]) + ")")
 
 
 def _ops(*text: str) -> str:
@@ -41,9 +44,9 @@ def _ops(*text: str) -> str:
 
 LEX = {
     "py": _lexer(
-        ("WS", r"[ \t\f]+|\\\n"), ("SKIP", r"#[^\n]*"), ("LF", r"\n"),
+        ("WS", r"(?:[ \t\f]|\\\n)+"), ("LF", r"\n(?:[ \t\f]*(?:#[^\n]*)?\n)*[ \t\f]*"), ("SKIP", r"#[^\n]*"),
         ("STR", r"(?:[rRbBuUfFtT]{0,2})(?:'''(?:[^\\]|\\[\s\S])*?'''|\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\")"),
-        ("NUM", f"(?:{_NUM})[jJ]?"), ("WORD", _WORD), ("AUG", _ops("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=")),
+        ("NUM", f"(?:{_NUM})[jJ]?"), ("WORD", r"(?!\d)\w++(?![\"'])"), ("AUG", _ops("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=")),
         ("OP", _ops("( ) [ ] { } , : . ; @ = -> + - * / // % ** << >> & | ^ ~ < > <= >= == != ... :=")),
     ),
     "go": _lexer(
@@ -60,13 +63,13 @@ LEX = {
         ("WS", r"[ \t\r]+"), ("SKIP", _COMMENT), ("LF", r"\n"), ("STR", r'[bc]?r"[^"]*"|[bc]?r#"[\s\S]*?"#|[bc]?r##"[\s\S]*?"##|[bc]?"(?:[^"\\]|\\[\s\S])*"'),
         ("CHR", r"b?'(?:[^'\\\n]|\\[^\n]+?)'"), ("LIFE", r"'(?!\d)\w+"),
         ("NUM", r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?"),
-        ("WORD", r"(?:r#)?" + _WORD), ("AUG", _ops("+= -= *= /= %= &= |= ^= <<=")),
+        ("WORD", r"r#(?!\d)\w+|(?!\d)\w++(?![\"'#])"), ("AUG", _ops("+= -= *= /= %= &= |= ^= <<=")),
         ("OP", _ops("( ) [ ] { } , ; : :: . .. ... ..= = == != < <= > + - * / % & | ^ << && || ! -> => ? @ # $ ~")),
     ),
     "ts": _lexer(
         ("WS", r"[ \t\r\f ﻿]+"), ("SKIP", r"//[^\n]*|\A#![^\n]*"), ("MULTI", r"/\*[\s\S]*?\*/"), ("LF", r"\n"), ("STR", _STR + r"|'(?:[^'\\\n]|\\[\s\S])*'"),
         ("NUM", f"(?:{_NUM})n?"), ("PRIV", r"#[A-Za-z_$][\w$]*"), ("WORD", r"(?!\d)[\w$]+"), ("AUG", _ops("+= -= *= /= %= **= &= |= ^= <<= &&= ||= ??=")),
-        ("OP", r"\?\.(?!\d)|" + _ops("( ) [ ] { } , ; : . ... = == != === !== < <= > + - * / % ** & | ^ << && || ?? ! ++ -- ~ ? => @")), ("TICK", "`"),
+        ("TPL", r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^`{}\"']*\})*`"), ("OP", r"\?\.(?!\d)|" + _ops("( ) [ ] { } , ; : . ... = == != === !== < <= > + - * / % ** & | ^ << && || ?? ! ++ -- ~ ? => @")), ("TICK", "`"),
     ),
 }
 LEX["js"] = LEX["ts"]
@@ -75,6 +78,9 @@ _OPERAND_END = {"ID", "NUM", "STR", "TPL", "RE", "PRIV", ")", "]", "}", "this",
 _GO_END = {"ID", "NUM", "STR", "CHR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"}
 
 
+_CLASSES = {"ID", "NUM", "STR", "CHR", "TPL", "RE", "LIFE", "PRIV", "AUG", "NL", "INDENT", "DEDENT", "NEVER"}
+
+
 class BadToken(Exception):
     """No token of the language fits at this line."""
 
@@ -113,79 +119,136 @@ def _template_end(text: str, at: int) -> int:
     return -1
 
 
+class _Careful(Exception):
+    """A text that needs the context-dependent lexer."""
+
+
 def tokens(text: str, lang: str, words: frozenset[str]) -> list[tuple[str, int, bool]]:
     """(terminal, line, after a line break) of a whole text, with the end as an empty terminal."""
+    if lang in ("ts", "js"):
+        try:
+            return _scan(text, lang, words)
+        except _Careful:
+            return _ecma_tokens(text, lang, words)
+    return _scan(text, lang, words)
+
+
+def _scan(text: str, lang: str, words: frozenset[str]) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
-    lex = LEX[lang]
-    pos, line, broke, n = 0, 1, False, len(text)
-    ecma = lang in ("ts", "js")
-    depth, indents, fresh = 0, [0], lang == "py"
-    while pos < n:
-        if fresh and not depth:  # the indentation of a logical line of Python
-            m = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\n)*([ \t\f]*)").match(text, pos)
-            line += text.count("\n", pos, m.end())
-            pos, fresh = m.end(), False
-            if pos >= n or text[pos] == "#":
+    add = out.append
+    py, go, ecma = lang == "py", lang == "go", lang in ("ts", "js")
+    line, broke, depth, indents = 1, False, 0, [0]
+    if py:  # the first line is indented like any other
+        text, line = "\n" + text, 0
+    n = len(text)
+    for m in LEX[lang].finditer(text):
+        kind = m.lastgroup
+        if kind == "WORD":
+            got = m[kind]
+            add((got if got in words else "ID", line, broke))
+            broke = False
+        elif kind == "P" or kind == "OP":
+            got = m[kind]
+            if py:
+                if got in "([{":
+                    depth += 1
+                elif got in ")]}":
+                    depth = max(0, depth - 1)
+            elif ecma and got == "/" and not (out and out[-1][0] in _OPERAND_END):
+                raise _Careful
+            add((got, line, broke))
+            broke = False
+        elif kind == "LF":
+            if py:
+                got = m[kind]
+                before, line = line, line + got.count("\n")
+                end = m.end()
+                if depth or end >= n or text[end] == "#":
+                    if not depth and out and out[-1][0] not in ("NL", "INDENT", "DEDENT"):
+                        add(("NL", before, False))
+                    continue
+                if out and out[-1][0] not in ("NL", "INDENT", "DEDENT"):
+                    add(("NL", before, False))
+                width = len(got[got.rindex("\n") + 1 :].expandtabs(8))
+                if width != indents[-1] and text[end] != "\\":
+                    if width > indents[-1]:
+                        indents.append(width)
+                        add(("INDENT", line, True))
+                    while width < indents[-1]:
+                        indents.pop()
+                        add(("DEDENT", line, True))
+                    if width != indents[-1]:
+                        raise BadToken(line)
                 continue
-            width = len(m[1].expandtabs(8))
-            if width > indents[-1]:
-                indents.append(width)
-                out.append(("INDENT", line, True))
-            while width < indents[-1]:
-                indents.pop()
-                out.append(("DEDENT", line, True))
-            if width != indents[-1]:
-                raise BadToken(line)
-        m = lex.match(text, pos)
-        kind, got = m.lastgroup, m[0]
-        if ecma and got in ("/", "/=") and not (out and out[-1][0] in _OPERAND_END):
-            r = _REGEX.match(text, pos)
+            if go and out and out[-1][0] in _GO_END:
+                add((";", line, False))
+            line += 1
+            broke = True
+        elif kind == "SKIP" or kind == "MULTI":
+            got = m[kind]
+            if "\n" in got:
+                if go and out and out[-1][0] in _GO_END:
+                    add((";", line, False))
+                line += got.count("\n")
+                broke = True
+        elif kind == "BAD":
+            raise BadToken(line)
+        elif kind == "TICK" or kind == "AUG" and ecma and m[kind] == "/=":
+            raise _Careful
+        else:
+            if kind == "NUM":
+                end = m.end()
+                if end < n and (text[end].isalnum() or text[end] == "_"):
+                    raise BadToken(line)
+            add((kind, line, broke))
+            broke = False
+            got = m[kind]
+            if "\n" in got:
+                line += got.count("\n")
+    if py:
+        if depth:
+            raise BadToken(line)
+        if out and out[-1][0] not in ("NL", "DEDENT"):
+            add(("NL", line, False))
+        out += [("DEDENT", line, True)] * (len(indents) - 1)
+    elif go and out and out[-1][0] in _GO_END:
+        add((";", line, False))
+    add(("", line, True))
+    return out
+
+
+def _ecma_tokens(text: str, lang: str, words: frozenset[str]) -> list[tuple[str, int, bool]]:
+    """The same with regular expressions and nested templates, whose extent depends on what stands before."""
+    out: list[tuple[str, int, bool]] = []
+    lex, pos, line, broke, n = LEX[lang], 0, 1, False, len(text)
+    while pos < n and (m := lex.match(text, pos)):
+        kind = m.lastgroup
+        got, start = m[kind], m.start(kind)
+        if got in ("/", "/=") and not (out and out[-1][0] in _OPERAND_END):
+            r = _REGEX.match(text, start)
             if not r:
                 raise BadToken(line)
             kind, got = "RE", r[0]
-        pos += len(got)
-        if kind == "WS" or kind == "SKIP":
-            breaks = got.count("\n")
-            line += breaks
-            broke |= breaks > 0
-            continue
-        if kind == "LF" or kind == "MULTI":
+        elif kind in ("TICK", "TPL"):
+            end = _template_end(text, start)
+            if end < 0:
+                raise BadToken(line)
+            kind, got = "TPL", text[start:end]
+        pos = start + len(got)
+        if kind in ("SKIP", "LF", "MULTI"):
             breaks = got.count("\n")
-            if breaks and lang == "go" and out and out[-1][0] in _GO_END:
-                out.append((";", line, False))
-            elif kind == "LF" and lang == "py" and not depth:
-                if out and out[-1][0] not in ("NL", "INDENT", "DEDENT"):
-                    out.append(("NL", line, False))
-                fresh = True
             line += breaks
             broke |= breaks > 0
             continue
-        if kind == "TICK":
-            end = _template_end(text, pos - 1)
-            if end < 0:
-                raise BadToken(line)
-            kind, got = "TPL", text[pos - 1 : end]
-            pos = end
-        if kind == "BAD" or kind in ("NUM", "STR") and pos < n and kind == "NUM" and (text[pos].isalnum() or text[pos] == "_"):
+        if kind == "BAD" or kind == "NUM" and pos < n and (text[pos].isalnum() or text[pos] == "_"):
             raise BadToken(line)
         if kind == "WORD":
             kind = got if got in words else "ID"
-        elif kind == "OP":
+        elif kind in ("P", "OP"):
             kind = got
-            if lang == "py":
-                depth = max(0, depth + (got in "([{") - (got in ")]}"))
         out.append((kind, line, broke))
         broke = False
-        if "\n" in got:
-            line += got.count("\n")
-    if lang == "py":
-        if depth:
-            raise BadToken(line)
-        if out and out[-1][0] not in ("NL", "DEDENT"):
-            out.append(("NL", line, False))
-        out += [("DEDENT", line, True)] * (len(indents) - 1)
-    elif lang == "go" and out and out[-1][0] in _GO_END:
-        out.append((";", line, False))
+        line += got.count("\n")
     out.append(("", line, True))
     return out
 
@@ -201,6 +264,7 @@ class Parser:
 
     def __init__(self, tables: dict[str, Tables] | None = None):
         self.tables = tables or {}
+        self.words: dict[str, frozenset[str]] = {}
 
     def error_line(self, text: str | None, lang: str | None) -> int | None:
         """Line of the first unrecoverable error, 0 if valid; None without a text."""
@@ -212,8 +276,10 @@ class Parser:
             self.tables[lang] = load_tables(lang)
         t = self.tables[lang]
         text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+        if lang not in self.words:
+            self.words[lang] = frozenset(x for x in t.terminals if x.isidentifier() and x not in _CLASSES)
         try:
-            toks = tokens(text, lang, frozenset(x for x in t.terminals if x.isidentifier() and x not in ("ID", "NUM", "STR", "CHR", "TPL", "RE", "LIFE", "PRIV", "AUG", "NL", "INDENT", "DEDENT", "NEVER")))
+            toks = tokens(text, lang, self.words[lang])
         except BadToken as e:
             return e.line
         return recognise(t, toks, ";" if lang in ("ts", "js") else "")
@@ -235,24 +301,36 @@ def current_files(files: DataFrame, *extra: str) -> DataFrame:
 def parse_files(files: DataFrame) -> DataFrame:
     """repo, path, language, error_line of each current file with a text; error_line is 0 for a valid one.
 
-    Texts that occur many times, be they a third of all files, are parsed once: distinct (extension, content) go to the
-    parser, and verdicts come back by content hash.
+    Files are parsed where they are read: contents, be they small or huge, are never shuffled, and only verdicts move on
+    to the choice of the current version. A worker parses a text that repeats once.
     """
-    spark = files.sparkSession
-    cur = current_files(files).where("content is not null").withColumn("ext", extension(F.col("path")))
-    keyed = cur.select("repo", "path", "ext", F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(7), "content").alias("h2"), "content")
-    known = F.col("ext").isin(list(EXTENSIONS))
-    distinct = keyed.where(known).groupBy("ext", "h1", "h2").agg(F.first("content").alias("content"))
-    tables = spark.sparkContext.broadcast({lang: load_tables(lang) for lang in sorted(set(EXTENSIONS.values()))})
+    old = F.lit("0001-01-01").cast("timestamp")
+    at = F.struct(F.coalesce("mtime", old).alias("m"), F.coalesce("ingested_at", old).alias("g"), F.coalesce(F.xxhash64("content"), F.lit(0)).alias("k"))
+    rows = files.where("repo is not null and path is not null").select("repo", "path", extension(F.col("path")).alias("language"), at.alias("at"), F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(7), "content").alias("k2"), "content")
+    tables = files.sparkSession.sparkContext.broadcast({lang: load_tables(lang) for lang in sorted(set(EXTENSIONS.values()))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Parser(tables.value)
+        memo: dict[tuple, int | None] = {}
         for b in batches:
-            yield pd.DataFrame({"ext": b["ext"], "h1": b["h1"], "h2": b["h2"], "error_line": [p.error_line(t, EXTENSIONS[e]) for e, t in zip(b["ext"], b["content"])]})
-
-    verdict = spread(distinct).mapInPandas(run, "ext string, h1 bigint, h2 bigint, error_line int")
-    out = keyed.drop("content").join(verdict, ["ext", "h1", "h2"], "left")
-    return out.select("repo", "path", F.col("ext").alias("language"), F.coalesce("error_line", F.lit(0)).alias("error_line"))
+            out = []
+            for e, k1, k2, t in zip(b["language"], b["k1"], b["k2"], b["content"]):
+                if t is None or e not in EXTENSIONS:
+                    out.append(None if t is None else 0)
+                    continue
+                if (e, k1, k2) not in memo:
+                    if len(memo) > 100_000:
+                        memo.clear()
+                    memo[e, k1, k2] = p.error_line(t, EXTENSIONS[e])
+                out.append(memo[e, k1, k2])
+            b = b.drop(columns=["content", "k1", "k2"])
+            b["error_line"] = pd.array(out, dtype="Int32")
+            yield b
+
+    kinds = dict(rows.dtypes)
+    verdict = spread(rows).mapInPandas(run, f"repo {kinds['repo']}, path {kinds['path']}, language string, at {kinds['at']}, error_line int")
+    cur = verdict.groupBy("repo", "path", "language").agg(F.max_by(F.struct("error_line"), "at").alias("v"))
+    return cur.select("repo", "path", "language", F.col("v.error_line").alias("error_line")).where("error_line is not null")
 
 
 def error_rates(parsed: DataFrame) -> DataFrame:
