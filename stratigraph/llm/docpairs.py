@@ -246,9 +246,11 @@ def inherited(methods: DataFrame, types: DataFrame, max_depth: int = 32) -> Data
     up = cut(one.where("n = 1 or m = 1").select("child", F.coalesce("near_up", "any_up").alias("up")).distinct())
     done = methods.where("description != ''").groupBy(F.col("parent_id").alias("up"), "name").agg(F.min("description").alias("text"))
     open_ = methods.where("description = '' and parent_id is not null and name is not null").select("decl_id", "name", F.col("parent_id").alias("at"))
-    out = None
+    out = seen = None
     for _ in range(max_depth):
-        stepped = cut(open_.join(up, open_["at"] == up["child"]).select("decl_id", "name", "up").distinct())
+        nxt = open_.join(up, open_["at"] == up["child"]).select("decl_id", "name", "up").distinct()
+        stepped = cut(nxt if seen is None else nxt.join(seen, ["decl_id", "up"], "left_anti"))  # a cycle ends
+        seen = stepped.select("decl_id", "up") if seen is None else seen.unionByName(stepped.select("decl_id", "up"))
         if not stepped.limit(1).count():
             break
         got = stepped.join(done, ["up", "name"]).groupBy("decl_id").agg(F.min_by("text", "up").alias("description"))
