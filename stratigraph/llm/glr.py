@@ -153,7 +153,8 @@ class Tables:
             self.goto.append(go)
         self.left = [p[0] for p in prods]
         self.size = [len(p[1]) for p in prods]
-        self.jump: dict[tuple[int, int, str], int] = {}
+        # cells with one action: a shift, or (size, landings by state, rule, terminal) of a reduction
+        self.single: list[dict] = [{t: a[0] if a[0] > 0 else (self.size[-a[0]], {}, self.left[-a[0]], t) for t, a in row.items() if len(a) == 1 and a[0] != 0} for row in self.action]
 
     def land(self, state: int, name: str, term: str) -> int:
         """State after reducing to a rule, past all reductions by one symbol that must follow before ``term``."""
@@ -194,7 +195,7 @@ def recognise(tables: Tables, tokens: list[tuple[str, int, bool]], insert: str =
     ``tokens`` are (terminal, line, line break before). ``insert``: a terminal that may be put in before a token that
     follows a line break, or is a closing brace or the end, when it does not fit otherwise.
     """
-    action, left, size, jump, land = tables.action, tables.left, tables.size, tables.jump, tables.land
+    single, land = tables.single, tables.land
     heads: list[tuple] = [(0, None)]
     line = 1
     for term, line, broke in tokens:
@@ -202,28 +203,21 @@ def recognise(tables: Tables, tokens: list[tuple[str, int, bool]], insert: str =
         if len(heads) == 1:  # deterministic as long as there is one action
             node = heads[0]
             while True:
-                acts = action[node[0]].get(term)
-                if acts is None:
-                    after = []
+                cell = single[node[0]].get(term)
+                if cell.__class__ is int:
+                    after = [(cell, node)]
                     break
-                if len(acts) > 1:
+                if cell is None:
                     heads = [node]
                     after = step(tables, heads, term)
                     break
-                a = acts[0]
-                if a > 0:
-                    after = [(a, node)]
-                    break
-                if a == 0:
-                    return 0
-                n = size[-a]
+                n, landing, name, _ = cell
                 while n:
                     node = node[1]
                     n -= 1
-                b = node[0]
-                s = jump.get((b, -a, term))
+                s = landing.get(node[0])
                 if s is None:
-                    s = jump[b, -a, term] = land(b, left[-a], term)
+                    s = landing[node[0]] = land(node[0], name, term)
                 node = (s, node)
         else:
             after = step(tables, heads, term)
