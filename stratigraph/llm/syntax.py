@@ -11,6 +11,7 @@ is skipped; several rows of one file: the one with the greatest mtime counts; eq
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from importlib import resources
@@ -321,7 +322,11 @@ def parse_files(files: DataFrame) -> DataFrame:
                 if (e, k1, k2) not in memo:
                     if len(memo) > 100_000:
                         memo.clear()
-                    memo[e, k1, k2] = p.error_line(t, EXTENSIONS[e])
+                    gc.disable()  # tokens and stacks are many short tuples without cycles
+                    try:
+                        memo[e, k1, k2] = p.error_line(t, EXTENSIONS[e])
+                    finally:
+                        gc.enable()
                 out.append(memo[e, k1, k2])
             b = b.drop(columns=["content", "k1", "k2"])
             b["error_line"] = pd.array(out, dtype="Int32")
