@@ -1,6 +1,7 @@
 """Retrieval: BM25, vectors, reciprocal rank fusion with named lanes, re-ranking.
 
-The corpus is cut down to a lane's candidates before anything global is ranked; ties always go to the smaller id.
+The corpus is cut down to a lane's candidates before anything global is ranked. Scores that agree to nine decimals
+are ties (sums of the same terms in another order differ beyond), and ties always go to the smaller id.
 Query terms, query vectors and corpus totals are single rows or a handful, hence broadcast.
 """
 
@@ -42,10 +43,10 @@ def bm25(docs: DataFrame, query: DataFrame, id_col: str, text_col: str) -> DataF
 def top(df: DataFrame, k: int, score: str = "score", per: list[str] | None = None) -> DataFrame:
     """The k best, per group if asked; ``rank`` starts at 1."""
     if per:
-        w = Window.partitionBy(*per).orderBy(F.desc(score), "id")
+        w = Window.partitionBy(*per).orderBy(F.desc(F.round(score, 9)), "id")
         return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    small = df.orderBy(F.desc(score), "id").limit(k)
-    return small.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "id")))
+    small = df.orderBy(F.desc(F.round(score, 9)), "id").limit(k)
+    return small.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round(score, 9)), "id")))
 
 
 def knn(vectors: DataFrame, id_col: str, vec_col: str, qvec: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -92,7 +93,7 @@ def hybrid(docs: DataFrame, id_col: str, text_col: str, vectors: DataFrame, vec_
 def coherence(scored: DataFrame, weight: float = 0.2) -> DataFrame:
     """Adds to the best chunk of each file weight * max score * its file's share. ``scored``: id, path, score."""
     f = Window.partitionBy("path")
-    x = scored.withColumn("fs", F.sum("score").over(f)).withColumn("r", F.row_number().over(f.orderBy(F.desc("score"), "id")))
+    x = scored.withColumn("fs", F.sum("score").over(f)).withColumn("r", F.row_number().over(f.orderBy(F.desc(F.round("score", 9)), "id")))
     m = scored.agg(F.max("score").alias("ms")).crossJoin(scored.groupBy("path").agg(F.sum("score").alias("fs")).agg(F.max("fs").alias("mf")))
     x = x.crossJoin(F.broadcast(m))
     return x.select("id", "path", (F.col("score") + F.when((F.col("r") == 1) & (F.col("mf") > 0), weight * F.col("ms") * F.col("fs") / F.col("mf")).otherwise(0.0)).alias("score"))
@@ -101,5 +102,5 @@ def coherence(scored: DataFrame, weight: float = 0.2) -> DataFrame:
 def rerank(scored: DataFrame, k: int) -> DataFrame:
     """Penalises paths, then halves each further pick of one file. ``scored``: id, path, score."""
     p = scored.select("id", "path", (F.col("score") * X.path_penalty(F.col("path"))).alias("score"))
-    n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "id"))
+    n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.round("score", 9)), "id"))
     return top(p.withColumn("score", F.col("score") * F.pow(F.lit(0.5), n - 1)), k)

@@ -81,7 +81,7 @@ def w4_lane_rank(s, d):
     return c.select("query_id", "item_id", F.round(1.0 / (60 + F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("r"), "item_id"))), 9).alias("rrf"))
 
 
-@query("t2_candidates", f"{BM} SELECT id FROM bm ORDER BY score DESC, id LIMIT 40")
+@query("t2_candidates", f"{BM} SELECT id FROM bm ORDER BY round(score, 9) DESC, id LIMIT 40")
 def t2_candidates(s, d):
     return S.top(_bm(s, d), 40).select("id")
 
@@ -159,7 +159,7 @@ def r14_stem_boost(s, d):
     return chunks(s, d, "path").select("id", ratio.alias("ratio")).where("ratio >= 0.10")
 
 
-@query("r19_related_dense", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT vec_id AS q0, v AS qv, label AS l0 FROM e ORDER BY vec_id LIMIT 1) SELECT vec_id AS id, round(list_sum(list_transform(list_zip(v, qv), lambda x: x[1] * x[2])), 5) AS score FROM e, q WHERE label = l0 AND vec_id <> q0 ORDER BY score DESC, id LIMIT 8")
+@query("r19_related_dense", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT vec_id AS q0, v AS qv, label AS l0 FROM e ORDER BY vec_id LIMIT 1) SELECT vec_id AS id, round(list_sum(list_transform(list_zip(v, qv), lambda x: x[1] * x[2])), 5) AS score FROM e, q WHERE label = l0 AND vec_id <> q0 ORDER BY round(score, 9) DESC, id LIMIT 8")
 def r19_related_dense(s, d):
     e = table(s, d, "embeddings")
     q = e.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("q0"), F.col("embedding").alias("qv"), F.col("label").alias("l0"))

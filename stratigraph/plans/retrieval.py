@@ -18,7 +18,7 @@ TOK = f"iw AS (SELECT id, unnest(regexp_extract_all(coalesce(content, ''), '[a-z
 _BM = """dl AS (SELECT ch.id, count(tk.term) AS dl FROM ch LEFT JOIN tk ON tk.id = ch.id GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT id, term, count(*) AS tf FROM tk WHERE term IN ({terms}) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN dl USING (id), st GROUP BY 1)""".replace("{terms}", ", ".join(f"'{t}'" for t in TERMS))
-_TOP = "SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {t}"
+_TOP = "SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM {t}"
 BM = f"WITH {CH}, {TOK}, {_BM}"
 QV = "qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 L2 = "kn AS (SELECT vec_id AS id, -sqrt(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score FROM embeddings, qv WHERE len(embedding) = len(q))"
@@ -59,18 +59,18 @@ def a1_term_stats(s, d):
     return S.postings(chunks(s, d, "content"), "id", "content").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query("r2_bm25", f"{BM} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
+@query("r2_bm25", f"{BM} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, id LIMIT 20")
 def r2_bm25(s, d):
     return S.top(_bm(s, d), 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query("r3_bm25_mask", f"{BM} SELECT id, round(score, 6) AS score FROM bm JOIN ch USING (id) WHERE language = 'python' ORDER BY bm.score DESC, id LIMIT 20")
+@query("r3_bm25_mask", f"{BM} SELECT id, round(score, 6) AS score FROM bm JOIN ch USING (id) WHERE language = 'python' ORDER BY round(bm.score, 9) DESC, id LIMIT 20")
 def r3_bm25_mask(s, d):
     keep = table(s, d, "chunks").where("language = 'python'").select("id")
     return S.top(_bm(s, d).join(keep, "id", "left_semi"), 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query("r4_bm25_repo_scope", f"{BM.replace('FROM chunks)', "FROM chunks WHERE repo = 'core-platform')")} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
+@query("r4_bm25_repo_scope", f"{BM.replace('FROM chunks)', "FROM chunks WHERE repo = 'core-platform')")} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, id LIMIT 20")
 def r4_bm25_repo_scope(s, d):
     return S.top(_bm(s, d, "repo = 'core-platform'"), 20).select("id", F.round("score", 6).alias("score"))
 
@@ -82,12 +82,12 @@ def r5_path_enrichment(s, d):
     return chunks(s, d, "path").select("id", F.concat_ws(" ", st, st, F.array_join(last, " ")).alias("extra"))
 
 
-@query("r6_knn_l2", f"WITH {QV}, {L2} SELECT id, round(-score, 5) AS dist FROM kn ORDER BY score DESC, id LIMIT 10")
+@query("r6_knn_l2", f"WITH {QV}, {L2} SELECT id, round(-score, 5) AS dist FROM kn ORDER BY round(score, 9) DESC, id LIMIT 10")
 def r6_knn_l2(s, d):
     return S.knn(table(s, d, "embeddings"), "vec_id", "embedding", _qv(s, d), 10).select("id", F.round(-F.col("score"), 5).alias("dist"))
 
 
-@query("r7_cosine_topk", f"WITH {QV} SELECT vec_id AS id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda x: x[1] * x[2])), 5) AS score FROM embeddings, qv WHERE label = 1 ORDER BY score DESC, id LIMIT 10")
+@query("r7_cosine_topk", f"WITH {QV} SELECT vec_id AS id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda x: x[1] * x[2])), 5) AS score FROM embeddings, qv WHERE label = 1 ORDER BY round(score, 9) DESC, id LIMIT 10")
 def r7_cosine_topk(s, d):
     return S.knn(table(s, d, "embeddings").where("label = 1"), "vec_id", "embedding", _qv(s, d), 10, "cosine").select("id", F.round("score", 5).alias("score"))
 
@@ -115,7 +115,7 @@ def r10_combine(s, d):
 
 @query("r11_hybrid_lanes", f"""{BM}, {QV}, {L2}, lx AS (SELECT id, score, rank FROM ({_TOP.format(t='bm')}) WHERE rank <= 40), d0 AS (SELECT id, score, rank FROM ({_TOP.format(t='kn')}) WHERE rank <= 40), dn AS (SELECT * FROM d0 WHERE score >= -1.3 AND id IN (SELECT id FROM ch)),
 fu AS (SELECT coalesce(lx.id, dn.id) AS id, 0.5 * coalesce(1.0 / (60 + dn.rank), 0) + 0.5 * coalesce(1.0 / (60 + lx.rank), 0) AS score FROM lx FULL JOIN dn ON lx.id = dn.id)
-SELECT id, round(score, 9) AS score, 'fusion' AS lane FROM fu ORDER BY fu.score DESC, id LIMIT 10""")
+SELECT id, round(score, 9) AS score, 'fusion' AS lane FROM fu ORDER BY round(fu.score, 9) DESC, id LIMIT 10""")
 def r11_hybrid_lanes(s, d):
     h = S.hybrid(chunks(s, d, "content"), "id", "content", table(s, d, "embeddings"), "vec_id", "embedding", _q(s), _qv(s, d), 10, 0.5, 1.3, 1.0)
     return h.select("id", F.round("score", 9).alias("score"), "lane")
@@ -128,7 +128,7 @@ def _scored(s, d):
     return _bm(s, d).join(chunks(s, d, "path"), "id").select("id", "path", "score")
 
 
-@query("r15_coherence", f"{_SC}, x AS (SELECT id, path, score, sum(score) OVER (PARTITION BY path) AS fs, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS r FROM sc) SELECT id, round(score + CASE WHEN r = 1 THEN 0.2 * (SELECT max(score) FROM sc) * fs / (SELECT max(fs) FROM x) ELSE 0 END, 6) AS score FROM x")
+@query("r15_coherence", f"{_SC}, x AS (SELECT id, path, score, sum(score) OVER (PARTITION BY path) AS fs, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, id) AS r FROM sc) SELECT id, round(score + CASE WHEN r = 1 THEN 0.2 * (SELECT max(score) FROM sc) * fs / (SELECT max(fs) FROM x) ELSE 0 END, 6) AS score FROM x")
 def r15_coherence(s, d):
     return S.coherence(_scored(s, d)).select("id", F.round("score", 6).alias("score"))
 
@@ -141,18 +141,18 @@ def r16_path_penalty(s, d):
     return chunks(s, d, "path").select("id", F.round(X.path_penalty(F.col("path")), 6).alias("penalty"))
 
 
-@query("w2_saturation", f"{_SC}, p AS (SELECT id, path, score * {_PEN} AS score FROM sc) SELECT id, round(score * pow(0.5, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) - 1), 6) AS score FROM p")
+@query("w2_saturation", f"{_SC}, p AS (SELECT id, path, score * {_PEN} AS score FROM sc) SELECT id, round(score * pow(0.5, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, id) - 1), 6) AS score FROM p")
 def w2_saturation(s, d):
     n = 1 << 30
     return S.rerank(_scored(s, d), n).select("id", F.round("score", 6).alias("score"))
 
 
-@query("r17_rerank", f"{_SC}, p AS (SELECT id, path, score * {_PEN} AS score FROM sc), q AS (SELECT id, score * pow(0.5, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) - 1) AS score FROM p) SELECT id, round(score, 6) AS score FROM q ORDER BY q.score DESC, id LIMIT 15")
+@query("r17_rerank", f"{_SC}, p AS (SELECT id, path, score * {_PEN} AS score FROM sc), q AS (SELECT id, score * pow(0.5, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, id) - 1) AS score FROM p) SELECT id, round(score, 6) AS score FROM q ORDER BY round(q.score, 9) DESC, id LIMIT 15")
 def r17_rerank(s, d):
     return S.rerank(_scored(s, d), 15).select("id", F.round("score", 6).alias("score"))
 
 
-@query("t1_topk", f"{BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY bm.score DESC, id LIMIT 3")
+@query("t1_topk", f"{BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY round(bm.score, 9) DESC, id LIMIT 3")
 def t1_topk(s, d):
     return S.top(_bm(s, d), 3).select("id", F.round("score", 6).alias("score"))
 
