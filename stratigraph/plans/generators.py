@@ -16,15 +16,15 @@ def _outline(*exts):
     return run
 
 
-def p1_chunks(s, d):
+def gen1_chunks(s, d):
     return O.chunks(current_files(s, d, "content").where("not endswith(path, '.md')")).select("id", "repo", "path", "start_line", "end_line", "content")
 
 
-def p2_markdown_chunks(s, d):
+def gen2_markdown_chunks(s, d):
     return O.chunks(current_files(s, d, "content").where("endswith(path, '.md')")).select("id", "repo", "path", "start_line", "end_line", "content")
 
 
 QUERIES = {
-    "s1_chunker": p1_chunks, "s2_markdown_chunker": p2_markdown_chunks, "o_python_outline": _outline("py"), "o_go_outline": _outline("go"), "o_ts_outline": _outline("ts", "js"), "o_rust_outline": _outline("rs"), "o_java_outline": _outline("java"),
+    "gen1_chunker": gen1_chunks, "gen2_markdown_chunker": gen2_markdown_chunks, "gen3_python_outline": _outline("py"), "gen4_go_outline": _outline("go"), "gen5_ts_outline": _outline("ts", "js"), "gen6_rust_outline": _outline("rs"), "gen7_java_outline": _outline("java"),
 }
 SQL: dict[str, str] = {}

@@ -248,15 +248,15 @@ def x16_truncate(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(F.substring("text", 1, 4000)).alias("h"))
 
 
-@query("p14_markers", "SELECT DISTINCT decl_id, regexp_matches(coalesce(signature, ''), '(^|\\s)async\\s') AS is_async, regexp_matches(coalesce(signature, ''), '(^|\\s)(public|private|protected|static|export|pub|abstract)\\s') AS modified, list_contains(attrs, '@Deprecated') AS deprecated FROM declarations")
-def p14_markers(s, d):
+@query("gen14_markers", "SELECT DISTINCT decl_id, regexp_matches(coalesce(signature, ''), '(^|\\s)async\\s') AS is_async, regexp_matches(coalesce(signature, ''), '(^|\\s)(public|private|protected|static|export|pub|abstract)\\s') AS modified, list_contains(attrs, '@Deprecated') AS deprecated FROM declarations")
+def gen14_markers(s, d):
     g = F.coalesce("signature", F.lit(""))
     x = table(s, d, "declarations").select("decl_id", g.rlike(r"(^|\s)async\s").alias("is_async"), g.rlike(r"(^|\s)(public|private|protected|static|export|pub|abstract)\s").alias("modified"), F.array_contains("attrs", "@Deprecated").alias("deprecated"))
     return x.distinct()
 
 
-@query("p19_exports", f"WITH {CF}, e AS (SELECT repo, path, unnest(regexp_extract_all(coalesce(content, ''), '(?m)^export (?:default )?(?:abstract )?(?:async )?(?:class|function|const|interface|type|enum) ([A-Za-z_]\\w*)', 1)) AS name FROM cf WHERE regexp_matches(path, '\\.(ts|js)$')) SELECT repo, path, name FROM e")
-def p19_exports(s, d):
+@query("gen19_exports", f"WITH {CF}, e AS (SELECT repo, path, unnest(regexp_extract_all(coalesce(content, ''), '(?m)^export (?:default )?(?:abstract )?(?:async )?(?:class|function|const|interface|type|enum) ([A-Za-z_]\\w*)', 1)) AS name FROM cf WHERE regexp_matches(path, '\\.(ts|js)$')) SELECT repo, path, name FROM e")
+def gen19_exports(s, d):
     f = current_files(s, d, "content").where(F.col("path").rlike(r"\.(ts|js)$"))
     return f.select("repo", "path", F.explode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?m)^export (?:default )?(?:abstract )?(?:async )?(?:class|function|const|interface|type|enum) ([A-Za-z_]\w*)"), F.lit(1))).alias("name"))
 

@@ -184,8 +184,8 @@ def callees(content):
     return F.array_distinct(F.regexp_extract_all(clean, F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)))
 
 
-@query("p17_call_names", f"WITH {CF} SELECT repo, path, len({_CALLEES}) AS callees FROM cf WHERE regexp_matches(path, '\\.(ts|js|py|go|rs)$')")
-def p17_call_names(s, d):
+@query("gen17_call_names", f"WITH {CF} SELECT repo, path, len({_CALLEES}) AS callees FROM cf WHERE regexp_matches(path, '\\.(ts|js|py|go|rs)$')")
+def gen17_call_names(s, d):
     f = current_files(s, d, "content").where(F.col("path").rlike(r"\.(ts|js|py|go|rs)$"))
     return f.select("repo", "path", F.size(callees(F.col("content"))).cast("bigint").alias("callees"))
 
@@ -211,8 +211,8 @@ def imports(content):
     return F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"(?m)^(?:import|from|use)\s+(?:type\s+)?(?:\{[^}]*\}\s+from\s+)?[\"']?([\w./:@-]+)"), F.lit(1))
 
 
-@query("p18_imports", f"WITH {CF}, i AS (SELECT repo, path, unnest({_IMPORTS}) AS spec FROM cf) SELECT spec, count(*) AS n FROM i GROUP BY 1")
-def p18_imports(s, d):
+@query("gen18_imports", f"WITH {CF}, i AS (SELECT repo, path, unnest({_IMPORTS}) AS spec FROM cf) SELECT spec, count(*) AS n FROM i GROUP BY 1")
+def gen18_imports(s, d):
     return current_files(s, d, "content").select(F.explode(imports(F.col("content"))).alias("spec")).groupBy("spec").agg(F.count("*").alias("n"))
 
 
@@ -476,28 +476,28 @@ def o9_surface(s, d):
     return decls(s, d, "repo", "path", "qualified_name", "kind", "start_line", "visibility").where("coalesce(visibility, '') not in ('private', 'protected')").drop("decl_id", "visibility")
 
 
-@query("p13_markdown_outline", f"WITH {CF}, l AS (SELECT repo, path, string_split(replace(content, chr(13), ''), chr(10)) AS ls FROM cf WHERE ends_with(path, '.md') AND content IS NOT NULL), x AS (SELECT repo, path, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS line FROM l) SELECT repo, path, line, length(regexp_extract(t, '^(#+) ', 1)) AS level, trim(regexp_replace(t, '^#+ ', '')) AS title FROM x WHERE regexp_matches(t, '^#{{1,6}} ')")
-def p13_markdown_outline(s, d):
+@query("gen13_markdown_outline", f"WITH {CF}, l AS (SELECT repo, path, string_split(replace(content, chr(13), ''), chr(10)) AS ls FROM cf WHERE ends_with(path, '.md') AND content IS NOT NULL), x AS (SELECT repo, path, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS line FROM l) SELECT repo, path, line, length(regexp_extract(t, '^(#+) ', 1)) AS level, trim(regexp_replace(t, '^#+ ', '')) AS title FROM x WHERE regexp_matches(t, '^#{{1,6}} ')")
+def gen13_markdown_outline(s, d):
     f = current_files(s, d, "content").where("endswith(path, '.md') and content is not null")
     x = f.select("repo", "path", F.posexplode(F.split(F.regexp_replace("content", "\r", ""), "\n")).alias("i", "t")).where(F.col("t").rlike("^#{1,6} "))
     return x.select("repo", "path", (F.col("i") + 1).cast("bigint").alias("line"), F.length(F.regexp_extract("t", "^(#+) ", 1)).cast("bigint").alias("level"), F.trim(F.regexp_replace("t", "^#+ ", "")).alias("title"))
 
 
-@query("p20_declaration_nodes", f"WITH {DC} SELECT substr(sha256(k || chr(0) || repo || chr(0) || path || chr(0) || coalesce(name, '')), 1, 32) AS id, k AS kind FROM (SELECT *, CASE WHEN kind IN ('class','struct','interface','record','enum') THEN 'type' WHEN kind IN ('method','ctor') THEN 'method' ELSE 'function' END AS k FROM dc WHERE kind IN ('class','struct','interface','record','enum','method','ctor','function')) GROUP BY 1, 2")
-def p20_declaration_nodes(s, d):
+@query("gen20_declaration_nodes", f"WITH {DC} SELECT substr(sha256(k || chr(0) || repo || chr(0) || path || chr(0) || coalesce(name, '')), 1, 32) AS id, k AS kind FROM (SELECT *, CASE WHEN kind IN ('class','struct','interface','record','enum') THEN 'type' WHEN kind IN ('method','ctor') THEN 'method' ELSE 'function' END AS k FROM dc WHERE kind IN ('class','struct','interface','record','enum','method','ctor','function')) GROUP BY 1, 2")
+def gen20_declaration_nodes(s, d):
     x = decls(s, d, "repo", "path", "name", "kind").where("kind in ('class','struct','interface','record','enum','method','ctor','function')")
     k = F.when(F.col("kind").isin("class", "struct", "interface", "record", "enum"), "type").when(F.col("kind").isin("method", "ctor"), "method").otherwise("function")
     return x.select(X.node_id(k, F.col("repo"), F.col("path"), F.col("name")).alias("id"), k.alias("kind")).distinct()
 
 
-@query("p20_contains", f"WITH {DC} SELECT p.decl_id AS parent, count(*) AS members FROM dc c JOIN dc p ON c.parent_id = p.decl_id GROUP BY 1")
-def p20_contains(s, d):
+@query("gen20_contains", f"WITH {DC} SELECT p.decl_id AS parent, count(*) AS members FROM dc c JOIN dc p ON c.parent_id = p.decl_id GROUP BY 1")
+def gen20_contains(s, d):
     x = decls(s, d, "parent_id")
     return x.join(x.select(F.col("decl_id").alias("parent")), F.col("parent_id") == F.col("parent")).groupBy("parent").agg(F.count("*").alias("members"))
 
 
-@query("p21_parse_errors", f"WITH {CF} SELECT repo, CAST(sum(parse_errors) AS BIGINT) AS errors, count(*) AS files FROM cf GROUP BY 1")
-def p21_parse_errors(s, d):
+@query("gen21_parse_errors", f"WITH {CF} SELECT repo, CAST(sum(parse_errors) AS BIGINT) AS errors, count(*) AS files FROM cf GROUP BY 1")
+def gen21_parse_errors(s, d):
     return current_files(s, d, "parse_errors").groupBy("repo").agg(F.sum("parse_errors").alias("errors"), F.count("*").alias("files"))
 
 
