@@ -23,7 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratigraph.llm.bpe import spread
 from stratigraph.session import cut
 
 # Words and openings of documentation that says nothing.
@@ -263,9 +262,8 @@ def pairs(declarations: DataFrame, files: DataFrame, inherit: bool = True) -> Da
     """decl_id, repo, path, name, signature, description, origin (own, inherited) of functions and methods."""
     cols = ["decl_id", "parent_id", "repo", "path", "kind", "name", "signature", "docs", "start_line"]
     d = declarations.where("kind in ('function', 'method') and decl_id is not null").select(*cols).dropDuplicates(["decl_id"])
-    d = cut(d)
     sc = found_in_source(d.where("docs is null and repo is not null and path is not null"), files)
-    d = spread(d.join(sc, "decl_id", "left").withColumn("docs", F.coalesce("docs", "comment")).drop("comment"))
+    d = d.join(sc, "decl_id", "left").withColumn("docs", F.coalesce("docs", "comment")).drop("comment")
     d = d.withColumn("description", meaningful_column("docs", "name")).drop("docs")
     tidy = F.trim(F.regexp_replace("signature", r"\s+", " "))
     shape = ["decl_id", "repo", "path", "name", tidy.alias("signature"), "description"]
