@@ -26,12 +26,10 @@ def sub_tokens(ident: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Identifier-aware tokens: each compound in lower case and, where it has two or more, its parts."""
-    return F.flatten(
-        F.transform(
-            identifiers(F.coalesce(text, F.lit(""))),
-            lambda i: F.concat(F.array(F.lower(i)), F.when(F.size(sub_tokens(i)) > 1, sub_tokens(i)).otherwise(F.array().cast("array<string>"))),
-        )
-    )
+    none = F.array().cast("array<string>")
+    # the parts are bound by the inner transform, so that they are worked out once an identifier
+    with_parts = lambda i: F.transform(F.array(sub_tokens(i)), lambda p: F.concat(F.array(F.lower(i)), F.when(F.size(p) > 1, p).otherwise(none)))
+    return F.flatten(F.flatten(F.transform(identifiers(F.coalesce(text, F.lit(""))), with_parts)))
 
 
 def is_symbol_query(q: Column) -> Column:
