@@ -272,3 +272,53 @@ def o13_module_files(s, d):
     m = f.select("repo", F.regexp_extract("path", "^(.*/)[^/]*$", 1).alias("dir"), F.explode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?m)^(?:pub )?mod ([a-z_]\w*);"), F.lit(1))).alias("name")).distinct()
     c = m.select("repo", "name", F.explode(F.array(F.concat("dir", "name", F.lit(".rs")), F.concat("dir", "name", F.lit("/mod.rs")))).alias("path"))
     return c.join(table(s, d, "files").select("repo", "path").distinct(), ["repo", "path"]).select("repo", "name", "path")
+
+
+# ---- providers and the composed search
+
+
+def s18_embed(s, d):
+    from stratigraph.functions.providers import embed
+
+    return chunks(s, d, "content").select("id", embed(F.col("content")).alias("embedding"))
+
+
+QUERIES["s18_embed"] = s18_embed
+
+
+def s21_summaries(s, d):
+    from stratigraph.functions.providers import summarise
+
+    return table(s, d, "documents").select("doc_id", summarise(F.col("text")).alias("summary"))
+
+
+QUERIES["s21_summaries"] = s21_summaries
+
+_FULL = f"""{BM}, qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+kn AS (SELECT vec_id AS id, -sqrt(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score FROM embeddings, qv WHERE len(embedding) = len(q) AND vec_id IN (SELECT id FROM ch)),
+lx AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm), dn AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM kn),
+fu AS (SELECT coalesce(l.id, n.id) AS id, 0.5 * coalesce(1.0 / (60 + n.rank), 0) + 0.5 * coalesce(1.0 / (60 + l.rank), 0) AS score FROM (SELECT * FROM lx WHERE rank <= 50) l FULL JOIN (SELECT * FROM dn WHERE rank <= 50) n ON l.id = n.id),
+sc AS (SELECT fu.id, path, score FROM fu JOIN ch USING (id)), x AS (SELECT id, path, score, sum(score) OVER (PARTITION BY path) AS fs, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, id) AS r FROM sc),
+co AS (SELECT id, path, score + CASE WHEN r = 1 THEN 0.2 * (SELECT max(score) FROM sc) * fs / (SELECT max(fs) FROM x) ELSE 0 END AS score FROM x)"""
+
+
+def r18_full_search(s, d):
+    from stratigraph.plans.retrieval import _qv
+
+    docs = chunks(s, d, "path")
+    vec = table(s, d, "embeddings").join(docs.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    fused = S.combine(S.rrf(S.knn(vec, "vec_id", "embedding", _qv(s, d), 50)), S.rrf(S.top(_bm(s, d), 50)), 0.5)
+    scored = fused.join(docs, "id").select("id", "path", "score")
+    return S.rerank(S.coherence(scored), 10).select("id", F.round("score", 8).alias("score"))
+
+
+QUERIES["r18_full_search"] = r18_full_search
+
+
+def _sql_full():
+    from stratigraph.plans.retrieval import _PEN
+
+    return f"{_FULL}, pe AS (SELECT id, path, score * {_PEN} AS score FROM co), sa AS (SELECT id, score * pow(0.5, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, id) - 1) AS score FROM pe) SELECT id, round(score, 8) AS score FROM sa ORDER BY round(sa.score, 9) DESC, id LIMIT 10"
+
+
+SQL["r18_full_search"] = _sql_full()
