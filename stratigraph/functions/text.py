@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 _PARTS = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 # Directories and endings that are never indexed, and the extensions of languages.
-DENY_DIRS = [".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "target", "out", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", "coverage", ".next", ".gradle"]
-DENY_ENDS = [".min.js", ".min.css", ".map", ".lock", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".tar", ".woff", ".woff2", ".ttf", ".wasm", ".bin"]
+DENY_DIRS = [".git", ".hg", ".svn", ".jj", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", ".next", ".nuxt", ".turbo", ".parcel-cache", "dist", "build", "out", ".eggs", "target", ".cache", ".gradle", ".idea", ".vscode"]
+DENY_ENDS = [".pb.go", "_pb.go", ".pb.cc", ".pb.h", "_pb2.py", "_pb2_grpc.py", "_test.go", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", ".min.js", ".min.css", ".lepus.ts", ".lepus.tsx"]
+SYMBOL_QUERY = r"^(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9_]*)+|_[A-Za-z0-9_]*|[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*|[A-Z][A-Za-z0-9]*)$"
 LANGUAGE_OF = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "scala": "scala", "cs": "csharp", "swift": "swift", "m": "objc", "h": "objc", "md": "markdown", "markdown": "markdown"}
 
 
@@ -33,8 +34,8 @@ def tokenize(text: Column) -> Column:
 
 
 def is_symbol_query(q: Column) -> Column:
-    """Whether a query looks like a symbol: qualified, snake case, camel case or a leading underscore."""
-    return F.trim(q).rlike(r"^(?:[A-Za-z_]\w*(?:(?:::|\\|->|\.)[A-Za-z_]\w*)+|_\w*|[A-Za-z][A-Za-z0-9]*_\w*|[A-Za-z]*[a-z0-9][A-Z]\w*|[A-Z][A-Za-z0-9]*)$")
+    """Whether a query looks like a symbol: qualified, with capitals or underscores."""
+    return F.trim(q).rlike(SYMBOL_QUERY)
 
 
 def symbol_name(q: Column) -> Column:

@@ -15,8 +15,8 @@ from stratigraph.session import cut, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 # Path parts whose files are not summarised, words that are no keywords.
-BLACKLIST = ["/test", "tests/", "vendor", "node_modules", "generated", "third_party", "/dist/", "mock", "fixture", "examples", ".min.", "__pycache__"]
-DEFINES = "class|struct|interface|enum|trait|type|def|func|fn|function|const|let|var|impl|module|namespace|record"
+BLACKLIST = [".test.", "_test.", ".spec.", ".d.ts", "/__generated__/", "/types/", "_pb.go", "_pb2.py", ".thrift.gen.", "/dist/", "/build/", "/.next/"]
+DEFINES = "class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract class|data class|fn|fun|package|namespace|protocol|record|typedef"
 
 
 def query(name, sql=None):
@@ -138,7 +138,7 @@ def g9_neighbourhood_depths(s, d):
     return G.reach(e, st, 2).select("id", "depth")
 
 
-@query("r9_alpha", "SELECT query_id, CASE WHEN regexp_matches(trim(query_text), '^([A-Za-z_]\\w*((::|\\\\|->|\\.)[A-Za-z_]\\w*)+|_\\w*|[A-Za-z][A-Za-z0-9]*_\\w*|[A-Za-z]*[a-z0-9][A-Z]\\w*|[A-Z][A-Za-z0-9]*)$') THEN 0.3 ELSE 0.5 END::DOUBLE AS alpha FROM query_log")
+@query("r9_alpha", f"SELECT query_id, CASE WHEN regexp_matches(trim(query_text), '{X.SYMBOL_QUERY}') THEN 0.3 ELSE 0.5 END::DOUBLE AS alpha FROM query_log")
 def r9_alpha(s, d):
     return table(s, d, "query_log").select("query_id", F.when(X.is_symbol_query(F.col("query_text")), 0.3).otherwise(0.5).alias("alpha"))
 

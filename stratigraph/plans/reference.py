@@ -136,10 +136,10 @@ def f10_noise_names(s, d):
     return nodes(s, d).where("kind in ('function','method') and length(symbol) >= 4 and not symbol rlike '^[a-z]+$'").select("symbol").distinct()
 
 
-@query("f11_server_paths", f"WITH {ND} SELECT DISTINCT repo, path FROM nd WHERE regexp_matches(lower(path), '(services?/|handlers?/|impl/|server/|gateway/)') AND regexp_matches(lower(path), '\\.(go|py|rs|java|kt|scala)$')")
+@query("f11_server_paths", f"WITH {ND} SELECT DISTINCT repo, path FROM nd WHERE regexp_matches(lower(path), '(services?/|handlers?/|impl/|server/)') AND regexp_matches(lower(path), '\\.(go|py|rs|java|kt|scala)$')")
 def f11_server_paths(s, d):
     p = F.lower("path")
-    return nodes(s, d).where(p.rlike(r"(services?/|handlers?/|impl/|server/|gateway/)") & p.rlike(r"\.(go|py|rs|java|kt|scala)$")).select("repo", "path").distinct()
+    return nodes(s, d).where(p.rlike(r"(services?/|handlers?/|impl/|server/)") & p.rlike(r"\.(go|py|rs|java|kt|scala)$")).select("repo", "path").distinct()
 
 
 @query("f13_visibility", f"WITH {DC} SELECT decl_id, kind, name FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, parent_id ORDER BY ordinal, decl_id) AS rn FROM dc WHERE coalesce(visibility, '') <> 'private' AND kind NOT IN ('field', 'heading')) WHERE rn <= 5")
@@ -515,7 +515,7 @@ def i5_orphan_vectors(s, d):
 # ---- scalars
 
 
-@query("x2_symbol_queries", "SELECT query_id, regexp_matches(trim(query_text), '^([A-Za-z_]\\w*((::|\\\\|->|\\.)[A-Za-z_]\\w*)+|_\\w*|[A-Za-z][A-Za-z0-9]*_\\w*|[A-Za-z]*[a-z0-9][A-Z]\\w*|[A-Z][A-Za-z0-9]*)$') AS symbol_like FROM query_log")
+@query("x2_symbol_queries", f"SELECT query_id, regexp_matches(trim(query_text), '{X.SYMBOL_QUERY}') AS symbol_like FROM query_log")
 def x2_symbol_queries(s, d):
     return table(s, d, "query_log").select("query_id", X.is_symbol_query(F.col("query_text")).alias("symbol_like"))
 
