@@ -70,7 +70,7 @@ def walk(group: np.ndarray, scores: list[np.ndarray], damping: float, steps: int
             stuck = np.bincount(group[o], weights=np.where(higher > 0, 0.0, wo), minlength=len(first))
             new[o] += (c[g_end] - c[tie_end]) + (stuck / size[first])[group[o]]
         new = damping * new / len(plans) + (1 - damping) / size
-        done = np.abs(new - w).max() < tol
+        done = (np.abs(new - w) * size).max() < tol
         w = new
         if done:
             break
@@ -95,8 +95,9 @@ def rank_walk(items: DataFrame, group: str, item: str, scores: list[str], dampin
             g = pd.factorize(p[group])[0]
             w = walk(g, [p[s].to_numpy(float) for s in scores], damping, steps, tol)
             q = pd.DataFrame({group: p[group], item: p[item], "weight": w})
-            # sums of the same terms in another order differ in the last digits: such weights are equal
-            o = np.lexsort((p[item].to_numpy(), -np.round(w, 10), g))
+            # sums of the same terms in another order differ in the last digits: such weights are equal; weights are
+            # about 1 / size, so digits count relative to that
+            o = np.lexsort((p[item].to_numpy(), -np.round(w * np.bincount(g)[g], 10), g))
             pos = np.empty(len(o), np.int64)
             gs = g[o]
             f = _starts(gs)
@@ -168,15 +169,15 @@ def _walk_large(df: DataFrame, group: str, item: str, scores: list[str], damping
         new = gained.groupBy(group, item).agg(F.sum("g").alias("g")).join(F.broadcast(n), group).join(F.broadcast(again), group)
         new = new.withColumn("g", F.col("g") + F.col("stuck") / F.col("_size"))
         new = cut(new.select(group, item, (damping * F.col("g") / k + (1 - damping) / F.col("_size")).alias("weight")))
-        delta = new.join(cur.withColumnRenamed("weight", "old"), [group, item]).agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
+        delta = new.join(cur.withColumnRenamed("weight", "old"), [group, item]).join(F.broadcast(n), group).agg(F.max(F.abs(F.col("weight") - F.col("old")) * F.col("_size"))).first()[0]
         cur = new
         if delta is None or delta < max(tol, 1e-11):
             break
     # places: ordered through value ranges as in _standings, then within them
-    neg = cur.withColumn("weight", F.round("weight", 10))
-    st = _standings(neg, group, "weight", block)
-    tie = Window.partitionBy(group, "higher_weight").orderBy(item)
-    return st.withColumn("place", F.col("higher_weight") + F.row_number().over(tie)).select(group, item, "weight", "place")
+    rel = cur.join(F.broadcast(n), group).withColumn("relative", F.round(F.col("weight") * F.col("_size"), 10))
+    st = _standings(rel, group, "relative", block)
+    tie = Window.partitionBy(group, "higher_relative").orderBy(item)
+    return st.withColumn("place", F.col("higher_relative") + F.row_number().over(tie)).select(group, item, "weight", "place")
 
 
 def fused_ranking(context_items: DataFrame, fused_entries: DataFrame, **kw) -> DataFrame:

@@ -61,3 +61,11 @@ def test_current_rows_only(spark):
     ci = ci.withColumn("scored_at", F.timestamp_seconds("t"))
     fe = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5), (1, 9, 1.0)], "query_id int, item_id int, score double")
     assert [(r.item_id, r.place) for r in fused_ranking(ci, fe).orderBy("place").collect()] == [(2, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("max_group", [1_000_000, 10])
+def test_large_group_has_no_false_ties(spark, max_group):
+    # 60,000 distinct scores: weights next to each other differ by less than 1e-10
+    df = spark.range(60_000).select(F.lit("q").alias("q"), F.col("id").alias("i"), F.expr("cast(id * 7919 % 100003 as double)").alias("a"))
+    got = rank_walk(df, "q", "i", ["a"], max_group=max_group, block=10_000).join(df, ["q", "i"]).orderBy("place").toPandas()
+    assert (got["a"].diff().dropna() < 0).all() and got["place"].tolist() == list(range(1, 60_001))
