@@ -151,6 +151,9 @@ class Tables:
                     go[s] = states[k]
             self.action.append({t: tuple(sorted(a)) for t, a in act.items()})
             self.goto.append(go)
+        self.lines: dict[tuple, list[tuple]] = {}  # what ``fits`` has learnt of lines
+        self.nets: dict[tuple, list[tuple]] = {}
+        self.once: set[tuple] = set()
         self.left = [p[0] for p in prods]
         self.size = [len(p[1]) for p in prods]
         # cells with one action: a shift, or (size, landings by state, rule, terminal) of a reduction
@@ -189,16 +192,14 @@ def step(tables: Tables, heads: list[tuple], term: str) -> list[tuple] | None:
     return list(shifted.values())
 
 
-def recognise(tables: Tables, tokens: list[tuple[str, int, bool]], insert: str = "") -> int:
-    """Line of the first token that no parse can take; 0 if the stream is valid.
+def advance(tables: Tables, heads: list[tuple], terms: tuple[str, ...], insert: str, broke: bool) -> tuple[list[tuple] | None, int]:
+    """Heads after the terminals of one line and how many were taken; None after acceptance, empty heads at an error.
 
-    ``tokens`` are (terminal, line, line break before). ``insert``: a terminal that may be put in before a token that
-    follows a line break, or is a closing brace or the end, when it does not fit otherwise.
+    ``broke``: whether a line break comes before the first of them. ``insert``: a terminal that may be put in before a
+    token that follows a line break, or is a closing brace or the end, when it does not fit otherwise.
     """
     single, land = tables.single, tables.land
-    heads: list[tuple] = [(0, None)]
-    line = 1
-    for term, line, broke in tokens:
+    for at, term in enumerate(terms):
         after: list[tuple] | None = None
         if len(heads) == 1:  # deterministic as long as there is one action
             node = heads[0]
@@ -227,9 +228,156 @@ def recognise(tables: Tables, tokens: list[tuple[str, int, bool]], insert: str =
         if not after and after is not None and insert and (broke or term in ("}", "")):
             more = step(tables, heads, insert)
             after = step(tables, more, term) if more else []
-        if after is None:
-            return 0
         if not after:
-            return max(1, line)
-        heads = after
+            return after, at
+        heads, broke = after, False
+    return heads, len(terms)
+
+
+class _Watched:
+    """A stack node that writes down where a parse looks below the heads it began with."""
+
+    __slots__ = ("state", "real", "book", "index", "up")
+
+    def __init__(self, real: tuple, book: _Book):
+        self.state, self.real, self.book, self.index, self.up = real[0], real, book, len(book.nodes), None
+        book.nodes.append(self)
+        book.by[id(real)] = self
+
+    def __getitem__(self, i: int):
+        if i == 0:
+            return self.state
+        if self.up is None and self.real[1] is not None:
+            below = self.book.by.get(id(self.real[1]))
+            fresh = below is None
+            self.up = _Watched(self.real[1], self.book) if fresh else below
+            self.book.log.append((self.index, self.up.index, self.up.state))
+        return self.up
+
+
+class _Book:
+    """Nodes by number, and (node, node below it, its state) in the order in which they were looked at."""
+
+    def __init__(self):
+        self.nodes: list[_Watched] = []
+        self.by: dict[int, _Watched] = {}
+        self.log: list[tuple[int, int, int]] = []
+
+
+LONGEST, LINES_KEPT = 80, 100_000
+
+
+def _learn(tables: Tables, heads: list[tuple], key: tuple, insert: str) -> list[tuple] | None:
+    """``advance`` by one line, remembered as what it looked at, the nodes it makes and the heads it leaves."""
+    book = _Book()
+    after, _ = advance(tables, [_Watched(h, book) for h in heads], key[0], insert, key[1])
+    if not after:
+        return after
+    made: list[tuple[int, int]] = []
+    number: dict[int, int] = {}
+
+    def ref(n) -> int:
+        """Number of a new node, or the complement of that of an old one."""
+        if n.__class__ is _Watched:
+            return ~n.index
+        if id(n) not in number:
+            below = ref(n[1])
+            number[id(n)] = len(made)
+            made.append((n[0], below))
+        return number[id(n)]
+
+    refs = [ref(h) for h in after]
+    if len(tables.lines) + len(tables.nets) > LINES_KEPT:
+        tables.lines.clear()
+        tables.nets.clear()
+    if len(heads) == len(refs) == 1 and all(b == k - 1 for k, (_, b) in enumerate(made) if k) and (not made or made[0][1] < 0):
+        # one stack before and after: states below the head, how many nodes go, the states that come
+        pops = ~made[0][1] if made else ~refs[0]
+        tables.lines.setdefault(key, []).append((tuple(s for _, _, s in book.log), pops, tuple(s for s, _ in made)))
+    else:
+        tables.nets.setdefault(key, []).append((book.log, made, refs))
+    return _replay([w.real for w in book.nodes], made, refs)
+
+
+def _replay(nodes: list[tuple], made: list[tuple[int, int]], refs: list[int]) -> list[tuple]:
+    new: list[tuple] = []
+    for state, below in made:
+        new.append((state, new[below] if below >= 0 else nodes[~below]))
+    return [new[r] if r >= 0 else nodes[~r] for r in refs]
+
+
+def fits(tables: Tables, lines: list[tuple[bool, tuple[str, ...]]], insert: str = "") -> bool:
+    """Whether a stream is valid; ``lines`` are its terminals in pieces, each with whether a line break comes before it.
+
+    What a piece does to the stacks depends on itself and on the few nodes it looks at; code repeats both all the time,
+    so that is remembered.
+    """
+    heads: list[tuple] | None = [(0, None)]
+    known, nets, once = tables.lines, tables.nets, tables.once
+    for broke, seg in lines:
+        if len(heads) == 1:
+            head = heads[0]
+            key = (seg, broke, head[0])
+            for states, pops, push in known.get(key, ()):
+                n = head
+                for s in states:
+                    n = n[1]
+                    if n is None or n[0] != s:
+                        break
+                else:
+                    while pops:
+                        head = head[1]
+                        pops -= 1
+                    for s in push:
+                        head = (s, head)
+                    heads = [head]
+                    break
+            else:
+                heads = _unknown(tables, nets, once, heads, key, insert)
+        else:
+            heads = _unknown(tables, nets, once, heads, (seg, broke, tuple([h[0] for h in heads])), insert)
+        if heads is None:
+            return True
+        if not heads:
+            return False
+    return False
+
+
+def _unknown(tables: Tables, nets: dict, once: set, heads: list[tuple], key: tuple, insert: str) -> list[tuple] | None:
+    """Heads after a piece that is no single known step; what is seen once only is not worth remembering."""
+    for log, made, refs in nets.get(key, ()):
+        nodes = heads[:]
+        for node, below, state in log:
+            n = nodes[node][1]
+            if below < len(nodes):
+                if n is not nodes[below]:
+                    break
+            elif n is None or n[0] != state or len(heads) > 1 and any(n is x for x in nodes):
+                break
+            else:
+                nodes.append(n)
+        else:
+            return _replay(nodes, made, refs)
+    if len(key[0]) <= LONGEST:
+        if key in once:
+            return _learn(tables, heads, key, insert)
+        if len(once) > LINES_KEPT:
+            once.clear()
+        once.add(key)
+    return advance(tables, heads, key[0], insert, key[1])[0]
+
+
+def recognise(tables: Tables, tokens: list[tuple[str, int, bool]], insert: str = "") -> int:
+    """Line of the first token that no parse can take; 0 if the stream is valid.
+
+    ``tokens`` are (terminal, line, line break before); ``insert`` as in ``advance``.
+    """
+    heads: list[tuple] | None = [(0, None)]
+    line = 1
+    for term, line, broke in tokens:
+        heads, _ = advance(tables, heads, (term,), insert, broke)
+        if heads is None:
+            return 0
+        if not heads:
+            break
     return max(1, line)
