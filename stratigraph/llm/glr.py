@@ -200,7 +200,7 @@ def advance(tables: Tables, heads: list[tuple], terms: tuple[str, ...], insert:
     """
     single, land = tables.single, tables.land
     for at, term in enumerate(terms):
-        after: list[tuple] | None = None
+        before, after = heads, None  # what is put in goes before any reduction made for the token
         if len(heads) == 1:  # deterministic as long as there is one action
             node = heads[0]
             while True:
@@ -223,10 +223,10 @@ def advance(tables: Tables, heads: list[tuple], terms: tuple[str, ...], insert:
         else:
             after = step(tables, heads, term)
         if insert and broke and after and term in ("++", "--"):  # a line break may end the statement before these
-            more = step(tables, heads, insert)
+            more = step(tables, before, insert)
             after = after + (step(tables, more, term) or [] if more else [])
         if not after and after is not None and insert and (broke or term in ("}", "")):
-            more = step(tables, heads, insert)
+            more = step(tables, before, insert)
             after = step(tables, more, term) if more else []
         if not after:
             return after, at
