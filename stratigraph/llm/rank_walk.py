@@ -1,17 +1,20 @@
 """One ranking from several differently scaled scores: a rank-walk Markov chain.
 
-From an item the walk picks one of the scores, each equally likely, and jumps uniformly to one of the items that
-stand strictly higher in it; where none does, and with probability 1 - damping anyway, it restarts anywhere in the
-group. The stationary weight orders the items. Only standings enter, so no score's range or distribution matters.
-The damping is small: on long walks nearly all mass climbs to the leaders of single scores, which would let one score
-decide; on short ones an item gains by standing high in every score.
+From an item the walk picks one of the scores, each equally likely, draws an item of the group and jumps there if it stands
+strictly higher in that score, else it stays: a uniform jump among the higher items, taken with their share of the group.
+With probability 1 - damping it restarts anywhere in the group. The stationary weight orders the items. Only standings
+enter, so no score's range or distribution matters, and none decides alone: an item near the top of one score is left as soon
+as another one is picked. (Jumping from everywhere with certainty, however few items stand higher, lets nearly all mass
+climb to the leaders of single scores: the longer the walk, the less the other scores count.)
 
 A jump to every higher item is never materialised: with the items sorted by a score, the mass that reaches an item is
-a sum over all lower ones of weight / (number of higher items), i.e. one sorted prefix sum per score and step.
+the sum over all lower ones divided by the size, i.e. one sorted prefix sum per score and step. The iteration contracts by
+the damping, so it ends at any damping below 1.
 
 Groups of up to ``max_group`` items are packed together into arrays and iterated at once; the sums run over the
-concatenation of many groups. Larger groups are iterated as DataFrames: an item belongs to a block of ``block``
-consecutive standings per score, sums go by block, and no group is ever gathered in one task.
+concatenation of many groups. Larger groups run the same steps to the same tolerance as DataFrames: weights are added up per
+standing, so ties are one row, prefix sums go by blocks of ``block`` consecutive standings, and a standing shared by many
+items meets its sum by a broadcast of at most ``64`` rows per score. No group is ever gathered in one task.
 
 Cases: null and NaN scores are worst and tie with each other; ties are jumped over together; an item without a row in
 a score is worst there; repeated rows count once; empty input gives an empty result; equal weights are ordered by item.
@@ -19,6 +22,7 @@ a score is worst there; repeated rows count once; empty input gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +45,12 @@ def _starts(g: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
 
 
-def walk(group: np.ndarray, scores: list[np.ndarray], damping: float, steps: int, tol: float) -> np.ndarray:
+def enough_steps(damping: float, tol: float) -> int:
+    """Steps after which no weight is further than ``tol`` of the whole from the stationary one: each takes off 1 - damping."""
+    return math.ceil(math.log(tol) / math.log(damping)) + 1 if damping > 0 else 1
+
+
+def walk(group: np.ndarray, scores: list[np.ndarray], damping: float, tol: float, steps: int | None = None) -> np.ndarray:
     """Stationary weights of every item; ``group`` holds consecutive numbers of the groups, equal ones adjacent."""
     n = len(group)
     if n == 0:
@@ -49,6 +58,7 @@ def walk(group: np.ndarray, scores: list[np.ndarray], damping: float, steps: int
     first = _starts(group)
     size = np.diff(np.r_[first, n])[np.cumsum(np.isin(np.arange(n), first)) - 1].astype(float)
     plans = []
+    hold = np.zeros(n)
     for s in scores:
         o = np.lexsort((-s, group))
         go, so = group[o], s[o]
@@ -58,17 +68,14 @@ def walk(group: np.ndarray, scores: list[np.ndarray], damping: float, steps: int
         tie_end = ends[np.cumsum(head) - 1]
         g_first = first[np.cumsum(np.r_[True, go[1:] != go[:-1]]) - 1]
         g_end = (g_first + size[o]).astype(int)
-        higher = (tie_first - g_first).astype(float)
-        plans.append((o, tie_end, g_end, higher))
+        hold[o] += 1 - (tie_first - g_first) / size[o]
+        plans.append((o, tie_end, g_end))
     w = 1.0 / size
-    for _ in range(steps):
-        new = np.zeros(n)
-        for o, tie_end, g_end, higher in plans:
-            wo = w[o]
-            out = np.where(higher > 0, wo / np.maximum(higher, 1), 0.0)
-            c = np.r_[0.0, np.cumsum(out)]
-            stuck = np.bincount(group[o], weights=np.where(higher > 0, 0.0, wo), minlength=len(first))
-            new[o] += (c[g_end] - c[tie_end]) + (stuck / size[first])[group[o]]
+    for _ in range(steps or enough_steps(damping, tol)):
+        new = w * hold
+        for o, tie_end, g_end in plans:
+            c = np.r_[0.0, np.cumsum(w[o])]
+            new[o] += (c[g_end] - c[tie_end]) / size[o]
         new = damping * new / len(plans) + (1 - damping) / size
         done = (np.abs(new - w) * size).max() < tol
         w = new
@@ -77,8 +84,11 @@ def walk(group: np.ndarray, scores: list[np.ndarray], damping: float, steps: int
     return w
 
 
-def rank_walk(items: DataFrame, group: str, item: str, scores: list[str], damping: float = 0.1, steps: int = 200, tol: float = 1e-12, max_group: int = 1_000_000, block: int = 100_000) -> DataFrame:
-    """group, item, weight, place (1 is best). ``items`` has one row per (group, item) with all scores."""
+def rank_walk(items: DataFrame, group: str, item: str, scores: list[str], damping: float = 0.85, tol: float = 1e-12, max_group: int = 1_000_000, block: int = 100_000, steps: int | None = None) -> DataFrame:
+    """group, item, weight, place (1 is best). ``items`` has one row per (group, item) with all scores.
+
+    ``steps`` fixes the number of steps; without it the walk goes on until no weight changes by ``tol`` of the mean weight.
+    """
     # private names: the caller's may clash with those of the steps
     names = (group, item)
     src = items.select(F.col(group).alias("_group"), F.col(item).alias("_item"), *[clean(s).alias(f"_score{k}") for k, s in enumerate(scores)])
@@ -93,7 +103,7 @@ def rank_walk(items: DataFrame, group: str, item: str, scores: list[str], dampin
         def solve(p: pd.DataFrame) -> pd.DataFrame:
             p = p.reset_index(drop=True)
             g = pd.factorize(p[group])[0]
-            w = walk(g, [p[s].to_numpy(float) for s in scores], damping, steps, tol)
+            w = walk(g, [p[s].to_numpy(float) for s in scores], damping, tol, steps)
             q = pd.DataFrame({group: p[group], item: p[item], "weight": w})
             # sums of the same terms in another order differ in the last digits: such weights are equal; weights are
             # about 1 / size, so digits count relative to that
@@ -122,62 +132,68 @@ def rank_walk(items: DataFrame, group: str, item: str, scores: list[str], dampin
     small = src.where(~is_large & F.col(group).isNotNull()) if large else src.where(F.col(group).isNotNull())
     out = small.repartition(F.col(group)).sortWithinPartitions(group).mapInPandas(packed, schema)
     if large:
-        out = out.unionByName(_walk_large(src.where(is_large), group, item, scores, damping, steps, tol, block).select(group, item, "weight", "place"))
+        out = out.unionByName(_walk_large(src.where(is_large), group, item, scores, damping, tol, block, steps).select(group, item, "weight", "place"))
     return out.select(F.col(group).alias(names[0]), F.col(item).alias(names[1]), "weight", "place")
 
 
-def _standings(df: DataFrame, group: str, score: str, block: int) -> DataFrame:
-    """Adds higher_<score>: how many items of the group stand strictly higher, and block_<score>."""
-    spark = df.sparkSession
-    # edges of about equally filled value ranges; any edges give exact counts
-    edges = []
-    for r in df.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx(score, [i / 200 for i in range(1, 200)], 2000).alias("q")).collect():
-        edges += [(r[group], sorted(set(r["q"])))]
-    e = spark.createDataFrame(edges, f"{group} {dict(df.dtypes)[group]}, q array<double>")
-    x = df.join(F.broadcast(e), group)
-    x = x.withColumn("_v", F.size(F.filter("q", lambda t: t > F.col(score)))).drop("q")
-    per = x.groupBy(group, "_v").agg(F.count("*").alias("_n"))
-    off = per.withColumn("_off", F.sum("_n").over(Window.partitionBy(group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))).select(group, "_v", F.coalesce("_off", F.lit(0)).alias("_off"))
-    w = Window.partitionBy(group, "_v").orderBy(F.desc(score))
-    x = x.withColumn("_r", F.rank().over(w) - 1).join(off, [group, "_v"])
-    h = F.col("_off") + F.col("_r")
-    return x.withColumn(f"higher_{score}", h).withColumn(f"block_{score}", F.floor(h / block)).drop("_v", "_r", "_off")
-
-
-def _walk_large(df: DataFrame, group: str, item: str, scores: list[str], damping: float, steps: int, tol: float, block: int) -> DataFrame:
+def _levels(df: DataFrame, group: str, score: str, block: int) -> DataFrame:
+    """A row per distinct value of a group: group, score, h (items that stand strictly higher), n (items with it).
+
+    Values are spread over tasks by ranges, counts of ranges give the offsets; ties are one row, however many.
+    """
+    v = df.groupBy(group, score).agg(F.count("*").alias("n"))
+    parts = max(1, -(-v.count() // block))
+    x = cut(v.repartitionByRange(parts, F.col(group), F.desc(score)).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = x.groupBy(group, "_p").agg(F.sum("n").alias("_s")).select(group, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(group, "_p").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    return x.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(off, [group, "_p"]).select(group, score, (F.col("_off") + F.col("_in")).alias("h"), "n")
+
+
+def _meet(df: DataFrame, levels: DataFrame, keys: list[str], size: DataFrame) -> DataFrame:
+    """Rows with what belongs to their level; levels with over a 64th of a group's items, 64 a group at most, are broadcast."""
+    hot = levels.join(F.broadcast(size), keys[0]).where(F.col("n") * 64 > F.col("_size")).drop("_size")
+    flag = hot.select(*keys, F.lit(True).alias("_hot"))
+    x = df.join(F.broadcast(flag), keys, "left")
+    return x.where("_hot").drop("_hot").join(F.broadcast(hot), keys).unionByName(x.where("_hot is null").drop("_hot").join(levels, keys))
+
+
+def _walk_large(df: DataFrame, group: str, item: str, scores: list[str], damping: float, tol: float, block: int, steps: int | None) -> DataFrame:
     """The walk as DataFrames for groups that no task should hold."""
-    for s in scores:
-        df = cut(_standings(df, group, s, block))
-    n = df.groupBy(group).agg(F.count("*").alias("_size"))
-    base = cut(df.join(F.broadcast(n), group))
-    cur = base.select(group, item, (1.0 / F.col("_size")).alias("weight"))
-    k = len(scores)
-    for step in range(min(steps, 60)):
-        joined = base.join(cur, [group, item])
-        gained = None
-        for s in scores:
-            h, b = F.col(f"higher_{s}"), F.col(f"block_{s}")
-            x = joined.select(group, item, "weight", h.alias("h"), b.alias("b")).withColumn("o", F.when(F.col("h") > 0, F.col("weight") / F.col("h")).otherwise(0.0))
-            per = x.groupBy(group, "b").agg(F.sum("o").alias("t"))
-            below = per.withColumn("below", F.coalesce(F.sum("t").over(Window.partitionBy(group).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("t")
-            w = Window.partitionBy(group, "b").orderBy(F.desc("h")).rangeBetween(Window.unboundedPreceding, -1)
-            x = x.withColumn("inside", F.coalesce(F.sum("o").over(w), F.lit(0.0))).join(below, [group, "b"])
-            x = x.select(group, item, (F.col("inside") + F.col("below")).alias("g"), F.when(F.col("h") > 0, 0.0).otherwise(F.col("weight")).alias("stuck"))
-            gained = x if gained is None else gained.unionByName(x)
-        # one row per large group: as bounded as the list of large groups
-        again = gained.groupBy(group).agg(F.sum("stuck").alias("stuck"))
-        new = gained.groupBy(group, item).agg(F.sum("g").alias("g")).join(F.broadcast(n), group).join(F.broadcast(again), group)
-        new = new.withColumn("g", F.col("g") + F.col("stuck") / F.col("_size"))
-        new = cut(new.select(group, item, (damping * F.col("g") / k + (1 - damping) / F.col("_size")).alias("weight")))
-        delta = new.join(cur.withColumnRenamed("weight", "old"), [group, item]).join(F.broadcast(n), group).agg(F.max(F.abs(F.col("weight") - F.col("old")) * F.col("_size"))).first()[0]
-        cur = new
-        if delta is None or delta < max(tol, 1e-11):
+    size = cut(df.groupBy(group).agg(F.count("*").alias("_size")))  # one row per large group
+    counts = None
+    for k, s in enumerate(scores):
+        lv = cut(_levels(df, group, s, block))
+        df = cut(_meet(df, lv, [group, s], size).withColumnRenamed("h", f"h{k}").drop("n", s))
+        c = lv.select(group, F.lit(k).alias("k"), "h", "n")
+        counts = c if counts is None else counts.unionByName(c)
+    n, keys = len(scores), [group, "k", "h"]
+    cur = df.join(F.broadcast(size), group).select(group, item, "_size", F.array(*[F.col(f"h{k}") for k in range(n)]).alias("hs"), (1.0 / F.col("_size")).alias("weight"))
+    cur = cut(cur)
+    for _ in range(steps or enough_steps(damping, tol)):
+        x = cur.select(group, item, "_size", "hs", "weight", F.posexplode("hs").alias("k", "h"))
+        per = x.groupBy(*keys).agg(F.sum("weight").alias("t")).withColumn("b", F.floor(F.col("h") / block))
+        below = per.groupBy(group, "k", "b").agg(F.sum("t").alias("t"))
+        below = below.select(group, "k", "b", F.coalesce(F.sum("t").over(Window.partitionBy(group, "k").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("below"))
+        inside = Window.partitionBy(group, "k", "b").orderBy(F.desc("h")).rowsBetween(Window.unboundedPreceding, -1)
+        lower = per.withColumn("inside", F.coalesce(F.sum("t").over(inside), F.lit(0.0))).join(below, [group, "k", "b"]).select(*keys, (F.col("inside") + F.col("below")).alias("lower"))
+        got = _meet(x, lower.join(counts, keys), keys, size)
+        g = got.groupBy(group, item).agg(F.first("_size").alias("_size"), F.first("hs").alias("hs"), F.first("weight").alias("old"), F.sum("lower").alias("g"))
+        hold = F.aggregate("hs", F.lit(0.0), lambda a, h: a + 1 - h / F.col("_size"))
+        new = damping * (F.col("g") / F.col("_size") + F.col("old") * hold) / n + (1 - damping) / F.col("_size")
+        step = cut(g.select(group, item, "_size", "hs", new.alias("weight"), "old"))
+        delta = step.agg(F.max(F.abs(F.col("weight") - F.col("old")) * F.col("_size"))).first()[0]
+        cur = step.drop("old")
+        if delta is None or delta < tol:
             break
-    # places: ordered through value ranges as in _standings, then within them
-    rel = cur.join(F.broadcast(n), group).withColumn("relative", F.round(F.col("weight") * F.col("_size"), 10))
-    st = _standings(rel, group, "relative", block)
-    tie = Window.partitionBy(group, "higher_relative").orderBy(item)
-    return st.withColumn("place", F.col("higher_relative") + F.row_number().over(tie)).select(group, item, "weight", "place")
+    rel = cut(cur.select(group, item, "weight", F.round(F.col("weight") * F.col("_size"), 10).alias("relative")))
+    # equal weights are ordered by item in buckets of items, so that many of them are no bottleneck either
+    placed = _meet(rel, cut(_levels(rel, group, "relative", block)), [group, "relative"], size)
+    r = cut(placed.repartitionByRange(max(1, -(-rel.count() // block)), F.col(group), F.col("h"), F.col(item)).withColumn("_p", F.spark_partition_id()))
+    off = r.groupBy(group, "h", "_p").agg(F.count("*").alias("_c"))
+    off = off.select(group, "h", "_p", F.coalesce(F.sum("_c").over(Window.partitionBy(group, "h").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    own = F.row_number().over(Window.partitionBy(group, "h", "_p").orderBy(item))
+    return r.withColumn("_r", own).join(F.broadcast(off.where("_off > 0")), [group, "h", "_p"], "left").withColumn("place", F.col("h") + F.coalesce("_off", F.lit(0)) + F.col("_r")).select(group, item, "weight", "place")
 
 
 def fused_ranking(context_items: DataFrame, fused_entries: DataFrame, **kw) -> DataFrame:
