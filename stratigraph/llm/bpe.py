@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 # The pattern that splits text before merging: a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE_CACHE = 300_000
+PIECE_CACHE, PAIR_CACHE = 300_000, 2_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -72,6 +72,8 @@ class Encoder:
         ok = self.pair.get(key)
         if ok is None:
             whole = self.bytes_of[right] if left < 0 else self.bytes_of[left] + self.bytes_of[right]
+            if len(self.pair) >= PAIR_CACHE:
+                self.pair.clear()
             ok = self.pair[key] = self.merges(whole) == ([right] if left < 0 else [left, right])
         return ok
 

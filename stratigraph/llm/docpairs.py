@@ -233,20 +233,33 @@ def base_name(c):
     return F.regexp_extract(F.regexp_replace(c, r"\s|<.*$|\[.*$|\(.*$", ""), r"([A-Za-z_]\w*)$", 1)
 
 
-def inherited(methods: DataFrame, types: DataFrame, max_depth: int = 32) -> DataFrame:
-    """decl_id, description of methods without one that an ancestor's method of the same name has.
+def parents(types: DataFrame) -> DataFrame:
+    """child, up: each base that names exactly one other type of its file, else exactly one other of its repository.
 
-    ``methods``: decl_id, parent_id, name, description; ``types``: decl_id, repo, path, name, bases.
+    Types are counted per name before anything is joined, so a name that thousands of types share is one row.
     """
     t = types.select("decl_id", "repo", "path", "name").where("name is not null")
-    b = types.select("decl_id", "repo", "path", F.explode("bases").alias("_b")).select("decl_id", "repo", "path", base_name(F.col("_b")).alias("name")).where("name != ''")
-    hit = b.alias("b").join(t.alias("t"), ["repo", "name"]).where("b.decl_id != t.decl_id").select(F.col("b.decl_id").alias("child"), F.col("name"), F.col("t.decl_id").alias("up"), (F.col("b.path") == F.col("t.path")).alias("near"))
-    one = hit.groupBy("child", "name").agg(F.count("*").alias("n"), F.count_if("near").alias("m"), F.min("up").alias("any_up"), F.min(F.when(F.col("near"), F.col("up"))).alias("near_up"))
-    up = cut(one.where("n = 1 or m = 1").select("child", F.coalesce("near_up", "any_up").alias("up")).distinct())
+    b = types.select("decl_id", "repo", "path", F.col("name").alias("own"), F.explode("bases").alias("_b")).select("decl_id", "repo", "path", "own", base_name(F.col("_b")).alias("name")).where("name != ''")
+    for p, keys in (("f", ["repo", "path", "name"]), ("r", ["repo", "name"])):
+        g = t.groupBy(*keys).agg(F.count("*").alias(f"{p}_n"), F.min("decl_id").alias(f"{p}_lo"), F.max("decl_id").alias(f"{p}_hi")).where(F.col(f"{p}_n") <= 2)
+        b = b.join(g, keys, "left")
+        other = F.when(F.col(f"{p}_lo") == F.col("decl_id"), F.col(f"{p}_hi")).otherwise(F.col(f"{p}_lo"))
+        # a type that is named like its base counts among the types of that name itself
+        same = F.col("own").eqNullSafe(F.col("name"))
+        b = b.withColumn(f"{p}_up", F.when(same & (F.col(f"{p}_n") == 2), other).when(~same & (F.col(f"{p}_n") == 1), F.col(f"{p}_lo")))
+    return b.select(F.col("decl_id").alias("child"), F.coalesce("f_up", "r_up").alias("up")).where("up is not null").distinct()
+
+
+def inherited(methods: DataFrame, types: DataFrame) -> DataFrame:
+    """decl_id, description of methods without one that an ancestor's method of the same name has, at any depth.
+
+    ``methods``: decl_id, parent_id, name, description; ``types``: decl_id, repo, path, name, bases.
+    """
+    up = cut(parents(types))
     done = methods.where("description != ''").groupBy(F.col("parent_id").alias("up"), "name").agg(F.min("description").alias("text"))
     open_ = methods.where("description = '' and parent_id is not null and name is not null").select("decl_id", "name", F.col("parent_id").alias("at"))
     out = seen = None
-    for _ in range(max_depth):
+    while True:  # ends: no method meets a type twice
         nxt = open_.join(up, open_["at"] == up["child"]).select("decl_id", "name", "up").distinct()
         stepped = cut(nxt if seen is None else nxt.join(seen, ["decl_id", "up"], "left_anti"))  # a cycle ends
         seen = stepped.select("decl_id", "up") if seen is None else seen.unionByName(stepped.select("decl_id", "up"))

@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers with items.
 
 Only the histogram of lengths, at most ``capacity`` numbers whatever the corpus, is brought to the driver. There the
-containers are planned as patterns with multiplicities: going from the longest length down, the gap it leaves is filled
-exactly by one, two or three available lengths (indexed by their sums), as often as the counts allow; what has no exact
+containers are planned as patterns with multiplicities: single lengths, sums of pairs and sums of a length and a pair are
+indexed; going from the longest length down, the gap it leaves is filled exactly by what the index gives, as often as the counts allow; what has no exact
 complement goes by best fit. Items are then numbered within their length, in buckets so that a length shared by a third
 of all items is no bottleneck, and the number of an item selects its place in the plan.
 
@@ -22,29 +22,51 @@ from stratigraph.llm.bpe import encode_texts
 from stratigraph.session import cut
 
 
+class Sums:
+    """Which lengths add up to a total: single lengths, pairs indexed by their sum, triples by a length and a pair's sum."""
+
+    def __init__(self, avail: np.ndarray, capacity: int):
+        self.avail = avail
+        have = np.flatnonzero(avail > 0).astype(np.int32)
+        firsts, seconds = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i, a in enumerate(have):
+            b = have[: min(i + 1, int(np.searchsorted(have, capacity - a, side="right")))]
+            firsts.append(np.full(len(b), a, np.int32))
+            seconds.append(b)
+        a, total = np.concatenate(firsts), np.concatenate(firsts) + np.concatenate(seconds)
+        order = np.argsort(total, kind="stable")[::-1]  # longest first within a sum
+        cut = np.searchsorted(-total[order], -np.arange(capacity, 0, -1), side="right")
+        self.by = [np.zeros(0, np.int32), *np.split(a[order], cut[:-1])[::-1]] if capacity else []
+        self.live = np.array([len(x) for x in self.by]) > 0
+
+    def pairs(self, total: int, top: int) -> np.ndarray:
+        """Lengths a >= b with a + b = total, both still there and at most ``top``; as a, descending."""
+        a = self.by[total]
+        if len(a):  # counts only fall: what is used up leaves the index for good
+            self.by[total] = a = a[(self.avail[a] > 0) & (self.avail[total - a] > 0)]
+            self.live[total] = len(a) > 0
+        return a[np.searchsorted(-a, -top) :]
+
+    def firsts(self, total: int, top: int) -> np.ndarray:
+        """Lengths c, descending, still there and at most ``top``, for which some pair of the index adds up to the rest."""
+        c = np.arange(min(top, total - 2), 0, -1)
+        return c[(self.avail[c] > 0) & self.live[total - c]]
+
+
 def _exact_fill(avail: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Patterns that fill a container exactly with a longest item and one to three more; lowers ``avail``."""
     plans: list[tuple[dict[int, int], int]] = []
+    sums = Sums(avail, capacity)
 
-    def take(sizes: list[int]) -> bool:
+    def take(sizes: list[int]) -> None:
         need: dict[int, int] = {}
         for s in sizes:
             need[s] = need.get(s, 0) + 1
         m = min(int(avail[s]) // k for s, k in need.items())
-        if m <= 0:
-            return False
-        for s, k in need.items():
-            avail[s] -= m * k
-        plans.append((need, m))
-        return True
-
-    def pairs(total: int, top: int) -> np.ndarray:
-        """Lengths a >= b with a + b = total, both available and at most ``top``; as a, descending."""
-        lo, hi = (total + 1) // 2, min(top, total - 1)
-        if hi < lo:
-            return np.zeros(0, int)
-        a = np.arange(hi, lo - 1, -1)
-        return a[(avail[a] > 0) & (avail[total - a] > 0)]
+        if m > 0:
+            for s, k in need.items():
+                avail[s] -= m * k
+            plans.append((need, m))
 
     for big in range(capacity, 0, -1):
         if avail[big] <= 0:
@@ -55,21 +77,18 @@ def _exact_fill(avail: np.ndarray, capacity: int) -> list[tuple[dict[int, int],
             continue
         if gap <= big and avail[gap] > 0:
             take([big, gap])
-        for a in pairs(gap, big):
+        for a in sums.pairs(gap, big):
             if avail[big] <= 0:
                 break
             take([big, int(a), int(gap - a)])
         if avail[big] > 0:
-            firsts = np.flatnonzero(avail[: min(big, gap) + 1] > 0)[::-1]
-            for a in firsts:
+            for c in sums.firsts(gap, big):
                 if avail[big] <= 0:
                     break
-                if a == 0 or avail[a] <= 0:
-                    continue
-                for b in pairs(gap - int(a), int(a)):
-                    if avail[big] <= 0 or avail[a] <= 0:
+                for b in sums.pairs(gap - int(c), int(c)):
+                    if avail[big] <= 0 or avail[c] <= 0:
                         break
-                    take([big, int(a), int(b), int(gap - a - b)])
+                    take([big, int(c), int(b), int(gap - c - b)])
     return plans
 
 

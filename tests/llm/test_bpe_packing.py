@@ -64,3 +64,21 @@ def test_pack(spark):
     assert max(fill.values()) <= 100 and sum(fill.values()) == sum(n or 0 for _, n in rows)
     assert len([c for c in fill if fill[c]]) <= sum(fill.values()) / 100 * 1.02 + 2
     assert pack(spark.createDataFrame([], "id long, n int"), "id", "n").count() == 0
+
+
+def test_index_of_sums():
+    """Pairs and triples of the index against a plain search, also after some lengths are used up."""
+    import numpy as np
+
+    from stratigraph.llm.packing import Sums
+
+    avail = np.zeros(51, np.int64)
+    avail[[1, 2, 3, 7, 20, 25, 30, 50]] = 2
+    s = Sums(avail, 50)
+    for gone in (0, 7, 25):
+        avail[gone] = 0
+        for total in range(51):
+            for top in (50, 25, 3):
+                assert s.pairs(total, top).tolist() == [x for x in range(top, 0, -1) if 0 < total - x <= x and avail[x] > 0 and avail[total - x] > 0]
+                firsts = set(s.firsts(total, top).tolist())
+                assert firsts >= {c for c in range(1, min(top, total - 2) + 1) if avail[c] > 0 and len(s.pairs(total - c, 50))}

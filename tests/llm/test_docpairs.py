@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratigraph.llm.docpairs import comment_lines, meaningful, pairs, source_comment
+from stratigraph.llm.docpairs import comment_lines, inherited, meaningful, pairs, parents, source_comment
 
 NOTHING = [
     ("parseNode", c)
@@ -53,3 +53,27 @@ def test_frame(spark):
     assert got == {2: ("own", text), 4: ("inherited", text), 6: ("inherited", text), 11: ("own", "Moves rows out of the lane."), 12: ("own", "Says a lot of things.")}
     assert {r.signature for r in pairs(d, f).collect()} == {"def f"}
     assert pairs(d.limit(0), f).count() == 0 and pairs(d, f.limit(0)).where("decl_id = 11").count() == 0
+
+
+TYPES = "decl_id int, repo string, path string, name string, bases array<string>"
+
+
+def test_bases_of_shared_names_are_counted_first(spark):
+    """A thousand types of one name and a thousand that extend it: no pair is built; the same file decides, else nothing."""
+    rows = [(i, "r", f"a{i}.ts", "Config", []) for i in range(1000)] + [(1000 + i, "r", f"a{i}.ts" if i < 3 else f"b{i}.ts", f"C{i}", ["Config"]) for i in range(1000)]
+    rows += [(5000, "r", "z.ts", "Foo", []), (5001, "r", "y.ts", "Foo", ["lib.Foo"]), (5002, "q", "y.ts", "Foo", ["Foo"])]
+    got = sorted((x.child, x.up) for x in parents(spark.createDataFrame(rows, TYPES)).collect())
+    assert got == [(1000, 0), (1001, 1), (1002, 2), (5001, 5000)]
+
+
+def test_deep_hierarchies_keep_their_descriptions(spark):
+    n = 12
+    types = spark.createDataFrame([(i, "r", "a.java", f"T{i}", [f"T{i - 1}"] if i else []) for i in range(n)], TYPES)
+    methods = spark.createDataFrame([(100 + i, i, "run", "Says it." if i == 0 else "") for i in range(n)], "decl_id int, parent_id int, name string, description string")
+    assert {(x.decl_id, x.description) for x in inherited(methods, types).collect()} == {(100 + i, "Says it.") for i in range(1, n)}
+
+
+@pytest.mark.parametrize("base", ["Base", "Base<T, U>", "pkg.Base", "a::b::Base", "Base[K]", "Base(metaclass=M)", " Base "])
+def test_spellings_of_bases(spark, base):
+    types = spark.createDataFrame([(1, "r", "a", "Base", []), (2, "r", "b", "Sub", [base])], TYPES)
+    assert [(x.child, x.up) for x in parents(types).collect()] == [(2, 1)]
