@@ -1,23 +1,25 @@
 """Files that nobody of the repository wrote by hand: generated, minified, third-party copies, data saved as code.
 
-Evidence, any of which decides:
-
-* declared: the repository's attribute files mark the path as generated or vendored. Patterns have the syntax of ignore
-  files; within a file the last match wins, and a file in a deeper directory wins over one above it. A path that
-  is declared to be neither is not a case.
-* vendored: the path lies in a directory meant for third-party code, or under ``contrib/<name>-<version>``.
-* generated: a comment before the first code says that a tool made the file (several languages), or the code
-  consists of trivial accessors.
-* minified: code without its strings and comments has long lines, hardly any white space and short names.
-* data: nearly all of the code is literals, with a handful of words around them.
-* copied: the five-word shingles of the code, without comments, overlap those of a vendored file by ``overlap`` (of the
-  smaller) and ``similarity`` (Jaccard). Shingles are compared by a rarest-first prefix: a pair that similar must
-  share one of the rarer part of the file's shingles, so hot shingles are never joined, and no pair is lost.
-* pattern: in repositories without attribute files, endings of file names and directory names that carry such evidence
-  nearly always, in many files of several repositories, stand for it (mined patterns).
+What decides, in this order:
+
+* declared: the repository's attribute files mark the path as generated or vendored. Within a file the last match wins,
+  and a file in a deeper directory wins over one above it; ``-attr`` declares the contrary, ``!attr`` takes back what was
+  said before. A path that is declared to be neither is not a case.
+* pattern: in repositories without attribute files, equivalent patterns: those that public attribute files have in common
+  (``EQUIVALENT``), and those mined here. An ending of file names, a directory or both together become a pattern where
+  nearly all files that match it, in several repositories, are declared so or carry evidence of their contents.
+* evidence, which seeds the patterns and decides on its own where none matches. Generated: a comment before the first
+  code says that a tool made the file (several languages), or the code consists of trivial accessors. Minified: code
+  without its strings and comments has long lines, hardly any white space and short names. Data: nearly all of the
+  code is literals, with a handful of words around them.
+* copied: the five-word shingles of the code, without comments, overlap those of a file under a vendored pattern by
+  ``overlap`` (of the smaller) and ``similarity`` (Jaccard). One plan at any size: a bit map of the vendored shingles, of a
+  bounded number of bits, keeps texts that can be similar to none from sending anything on; what is left meets the vendored
+  shingles rarest first, and counts are exact.
 
 Cases: null contents are judged by path only; empty contents have no content evidence; repeated rows and old versions do
-not count; equal texts are examined once; a missing attribute file declares nothing; empty input, empty result.
+not count; equal texts are examined once; a missing attribute file declares nothing; a pattern that ends in a slash
+matches nothing, as in attribute files; empty input, empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +37,22 @@ from stratigraph.llm.bpe import spread
 from stratigraph.llm.syntax import current_files
 from stratigraph.session import cut
 
-# Directories meant for code of others, and what tools write at the top of their output.
-VENDOR_DIR = r"(^|/)(vendor|third_party|third-party|thirdparty|external|extern|deps|node_modules|bower_components|Godeps)/|(^|/)contrib/[A-Za-z][\w.]*-v?\d+(\.\d+)+[^/]*/"
+# What public attribute files declare about directories meant for code of others, and what tools write at the top of
+# their output.
+EQUIVALENT = """
+**/vendor/** linguist-vendored
+**/third_party/** linguist-vendored
+**/third-party/** linguist-vendored
+**/thirdparty/** linguist-vendored
+**/external/** linguist-vendored
+**/extern/** linguist-vendored
+**/deps/** linguist-vendored
+**/node_modules/** linguist-vendored
+**/bower_components/** linguist-vendored
+**/Godeps/** linguist-vendored
+**/contrib/[A-Za-z]*-[0-9]*.[0-9]*/** linguist-vendored
+**/contrib/[A-Za-z]*-v[0-9]*.[0-9]*/** linguist-vendored
+"""
 MADE_BY_TOOL = re.compile(
     r"code generated by \S+.*do not (edit|modify)|<auto-?generated|@generated\b|auto-?generated file|(automatically|auto-?) ?generated by \S+"
     r"|this (file|code|module|source) (is|was|has been) (auto|machine|automatically|programmatically)|machine generated|generated (on|from|by) .*(do not (edit|modify)|build \d|\.(proto|thrift|idl|g4|y|xsd|wsdl)\b)"
@@ -53,6 +69,7 @@ _TOP = re.compile(r"\A(?:\s*(?://[^\n]*|/\*[\s\S]*?\*/|#(?![!\[])[^\n]*|#![^\n]*
 _ACCESSOR = re.compile(r"^\s*return (?:self|this|m|[a-z])\.\w+(?:\[\d+\])?;?\s*$|^\s*(?:self|this)\.\w+ = \w+;?\s*$|\{\s*(?:return )?[\w.]+(?:\[\d+\])?;?\s*\}|\{\s*[\w.]+(?:\[\d+\])?\s*=\s*\w+;\s*\}", re.M)
 _NUMBER = re.compile(r"-?\b\d[\w.]*")
 _NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
+_LONG_LINE = re.compile(r"[^\n]{500}")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _HASHES: dict[str, int] = {}
 SHINGLE = 5
@@ -84,8 +101,9 @@ def content_evidence(text: str | None, ext: str = "") -> str:
     acc = len(_ACCESSOR.findall(text))
     blank = sum(map(text.count, " \n\t")) / len(text)
     digits = sum(map(text.count, "0123456789")) / len(text)
-    if acc < 6 and blank > 0.14 and digits < 0.1:
-        return ""  # neither dense nor full of numbers nor of accessors
+    quotes = text.count('"') + text.count("'")
+    if acc < 6 and blank > 0.14 and digits < 0.1 and quotes < 0.04 * len(text) and not _LONG_LINE.search(text):
+        return ""  # neither dense nor full of numbers, strings or accessors
     code, strings = split_code(text)
     lines = [x.strip() for x in code.split("\n") if x.strip()]
     if not lines:
@@ -133,8 +151,8 @@ def shingles(text: str) -> np.ndarray:
 # ---- attribute files
 
 
-def parse_attributes(text: str | None) -> list[tuple[str, str, bool]]:
-    """(pattern, generated or vendored, set) of the lines of an attribute file that speak of the two."""
+def parse_attributes(text: str | None) -> list[tuple[str, str, bool | None]]:
+    """(pattern, generated or vendored, set, unset or None for taken back) of the lines that speak of the two."""
     out = []
     for line in (text or "").splitlines():
         parts = line.split()
@@ -143,15 +161,16 @@ def parse_attributes(text: str | None) -> list[tuple[str, str, bool]]:
         for a in parts[1:]:
             m = re.fullmatch(r"([-!]?)linguist-(generated|vendored)(?:=(\w+))?", a)
             if m:
-                out.append((parts[0], m[2], not m[1] and (m[3] or "true").lower() not in ("false", "0", "no")))
+                out.append((parts[0], m[2], None if m[1] == "!" else not m[1] and (m[3] or "true").lower() not in ("false", "0", "no")))
     return out
 
 
 def glob_regex(pattern: str) -> str:
     """Regular expression, for paths relative to the attribute file's directory, of one pattern."""
-    p = pattern.strip("/") if pattern.endswith("/") else pattern
-    anchored = "/" in p
-    p = p.lstrip("/")
+    if pattern.endswith("/"):
+        return r"(?!)"  # a directory has no attributes of its own
+    anchored = "/" in pattern
+    p = pattern.lstrip("/")
     out, i = "", 0
     while i < len(p):
         if p.startswith("**/", i):
@@ -168,7 +187,7 @@ def glob_regex(pattern: str) -> str:
             out, i = out + "[" + ("^" + body[1:] if body[:1] == "!" else body) + "]", j + 1
         else:
             out, i = out + re.escape(p[i]), i + 1
-    return ("" if anchored else "(?:.*/)?") + out + ("(?:/.*)?" if pattern.endswith("/") else "")
+    return ("" if anchored else "(?:.*/)?") + out
 
 
 def decide_declared(path: str, files: list[tuple[str, str]]) -> str | None:
@@ -178,12 +197,20 @@ def decide_declared(path: str, files: list[tuple[str, str]]) -> str | None:
         rel = path[len(d) :]
         for pattern, what, on in parse_attributes(text):
             if re.fullmatch(glob_regex(pattern), rel):
-                state[what] = on
+                if on is None:
+                    state.pop(what, None)
+                else:
+                    state[what] = on
     if any(state.values()):
         return next(k for k, v in state.items() if v)
     return "none" if state else None
 
 
+def equivalent(path, what: str = "vendored"):
+    """Whether a pattern of ``EQUIVALENT`` marks a path, as a column expression."""
+    return path.rlike("^(?:" + "|".join(glob_regex(p) for p, w, on in parse_attributes(EQUIVALENT) if w == what and on) + ")$")
+
+
 def declared(cur: DataFrame) -> DataFrame:
     """repo, path, declared: joins every path of a repository with attribute files to those in the directories above it."""
     attrs = cur.where(F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("content").isNotNull()).select("repo", F.regexp_replace("path", r"[^/]*$", "").alias("dir"), F.col("content").alias("attr"))
@@ -203,33 +230,6 @@ def declared(cur: DataFrame) -> DataFrame:
 # ---- copies
 
 
-class Known:
-    """Vendored texts by their shingles, of a size checked before it is shipped; tells which texts are copies."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(x) for x in sets], np.int64)
-        h = np.concatenate([np.asarray(x, np.int64) for x in sets]) if sets else np.zeros(0, np.int64)
-        own = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
-        o = np.argsort(h, kind="stable")
-        self.text = own[o]
-        self.h, self.start = np.unique(h[o], return_index=True)
-        self.end = np.r_[self.start[1:], len(h)] if len(h) else self.start
-
-    def copied(self, text: str, overlap: float, similarity: float) -> bool:
-        """Whether some vendored text overlaps this one enough: exact counts, by the lists of its shingles."""
-        s = shingles(text)
-        if not len(s) or not len(self.h):
-            return False
-        i = np.minimum(np.searchsorted(self.h, s), len(self.h) - 1)
-        i = i[self.h[i] == s]
-        if len(i) < similarity * len(s):
-            return False  # all of them together are too few for any one
-        a, k = self.start[i], self.end[i] - self.start[i]
-        at = np.repeat(a - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
-        both = np.bincount(self.text[at], minlength=len(self.n))
-        return bool(((both >= overlap * np.minimum(self.n, len(s))) & (both >= similarity * (self.n + len(s) - both))).any())
-
-
 def vendored_shingles(texts: DataFrame) -> DataFrame:
     """k1, k2, n, hs: the shingles of each distinct text. ``texts``: k1, k2, content."""
 
@@ -241,10 +241,31 @@ def vendored_shingles(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "k1 bigint, k2 bigint, n int, hs array<bigint>").where("n > 0").dropDuplicates(["k1", "k2"])
 
 
-def survivors_by_join(texts: DataFrame, dfs: DataFrame, similarity: float) -> DataFrame:
-    """k1, k2, n, found: texts with enough known shingles, these rarest first; for vendored sets too large to ship."""
-    x = vendored_shingles(texts).select("k1", "k2", "n", F.explode("hs").alias("h")).join(dfs, "h")
-    g = x.groupBy("k1", "k2", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("a"))
+def shingle_bits(v: DataFrame, most: int) -> np.ndarray:
+    """A bit per shingle of ``v`` at its hash modulo the number of bits: a power of two, at most ``most`` whatever the table."""
+    hs = v.select(F.explode("hs").alias("h"))
+    n = hs.count()
+    size = 1 << 15
+    while size < min(most, 16 * n):
+        size <<= 1
+    at = F.pmod(F.col("h"), F.lit(size)) + 1  # positions of these functions count from 1
+    rows = hs.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for r in rows:
+        out[r["k"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def may_be_known(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which shingles can be among those of a bit map."""
+    at = s & np.int64(8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def survivors(texts: DataFrame, v: DataFrame, similarity: float) -> DataFrame:
+    """k1, k2, n, found: texts (k1, k2, n, maybe) with enough vendored shingles, these rarest first."""
+    dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    g = texts.select("k1", "k2", "n", F.explode("maybe").alias("h")).join(dfs, "h").groupBy("k1", "k2", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("a"))
     return g.where(F.size("a") >= similarity * F.col("n")).select("k1", "k2", "n", F.transform("a", lambda e: e["h"]).alias("found"))
 
 
@@ -259,104 +280,107 @@ def match_copies(surv: DataFrame, v: DataFrame, overlap: float, similarity: floa
     return pairs.where((both >= overlap * F.least("n", "vn")) & (both >= similarity * (F.col("n") + F.col("vn") - both))).select("k1", "k2").distinct()
 
 
-def known_texts(v: DataFrame, max_known: int) -> Known | None:
-    """The vendored texts as arrays if they have at most ``max_known`` shingles, else None."""
-    n = v.agg(F.sum("n")).first()[0] or 0
-    return Known(v.select("hs").toPandas()["hs"].tolist()) if n <= max_known else None
-
-
-def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 4_000_000) -> DataFrame:
+def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5, most_bits: int = 1 << 27) -> DataFrame:
     """k1, k2 of texts that are copies of a vendored text. ``texts``: k1, k2, content, origin."""
     v = cut(vendored_shingles(texts.where("origin").select("k1", "k2", "content")))
-    x = texts.where("not origin").select("k1", "k2", "content")
-    known = known_texts(v, max_known)
-    if known is None:
-        dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-        return match_copies(cut(survivors_by_join(x, dfs, similarity)), v, overlap, similarity)
-    box = texts.sparkSession.sparkContext.broadcast(known)
+    box = texts.sparkSession.sparkContext.broadcast(shingle_bits(v, most_bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[box.value.copied(t, overlap, similarity) for t in b["content"]], ["k1", "k2"]]
+            got = [known_part(t, box.value, similarity) for t in b["content"]]
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n": [g[0] for g in got], "maybe": [g[1] for g in got]})
+
+    x = texts.where("not origin").select("k1", "k2", "content").mapInPandas(run, "k1 bigint, k2 bigint, n int, maybe array<bigint>")
+    return match_copies(cut(survivors(x.where("maybe is not null").dropDuplicates(["k1", "k2"]), v, similarity)), v, overlap, similarity)
 
-    return x.mapInPandas(run, "k1 bigint, k2 bigint").distinct()
+
+def known_part(text: str, bits: np.ndarray, similarity: float) -> tuple[int, list[int] | None]:
+    """Number of shingles of a text, and those that may be vendored; None where they are too few for any copy."""
+    s = shingles(text)
+    m = s[may_be_known(bits, s)] if len(s) else s
+    return len(s), m.tolist() if len(m) and len(m) >= similarity * len(s) else None
 
 
 # ---- mined patterns
 
 
 def path_patterns(path):
-    """Endings of the file name and names of directories, as an array column."""
+    """Endings of the file name, names of directories, and the last directory with each ending, as attribute patterns."""
     base = F.regexp_extract(path, r"[^/]*$", 0)
-    ends = [F.concat(F.lit("*"), F.regexp_extract(base, e, 1)) for e in (r"[0-9A-Za-z]([_.-][A-Za-z]+[0-9]?\.[A-Za-z]+)$", r"[0-9A-Za-z]([_.-][A-Za-z]+[0-9]?_[A-Za-z]+\.[A-Za-z]+)$", r"[a-z0-9]([A-Z][a-z]+\.[A-Za-z]+)$")]
-    dirs = F.transform(F.filter(F.split(F.regexp_replace(path, r"[^/]*$", ""), "/"), lambda s: s != ""), lambda s: F.concat(s, F.lit("/")))
-    return F.array_distinct(F.filter(F.concat(F.array(*ends), dirs), lambda s: s != "*"))
+    ends = F.filter(F.array(*[F.regexp_extract(base, e, 1) for e in (r"[0-9A-Za-z]([_.-][A-Za-z]+[0-9]?\.[A-Za-z]+)$", r"[0-9A-Za-z]([_.-][A-Za-z]+[0-9]?_[A-Za-z]+\.[A-Za-z]+)$", r"[a-z0-9]([A-Z][a-z]+\.[A-Za-z]+)$")]), lambda e: e != "")
+    dirs = F.filter(F.split(F.regexp_replace(path, r"[^/]*$", ""), "/"), lambda s: s != "")
+    last = F.slice(F.reverse(dirs), 1, 1)
+    both = F.flatten(F.transform(last, lambda d: F.transform(ends, lambda e: F.concat(F.lit("**/"), d, F.lit("/*"), e))))
+    return F.array_distinct(F.concat(F.transform(ends, lambda e: F.concat(F.lit("*"), e)), F.transform(dirs, lambda d: F.concat(F.lit("**/"), d, F.lit("/**"))), both))
 
 
 def mined_patterns(judged: DataFrame, precision: float = 0.98, support: int = 20, repos: int = 3) -> DataFrame:
-    """pattern, files, share: patterns whose files carry evidence nearly always."""
-    e = judged.select("repo", (F.col("reason") != "").cast("int").alias("hit"), F.explode(path_patterns(F.col("path"))).alias("pattern"))
+    """pattern, files, share: patterns whose files are declared or carry evidence nearly always.
+
+    ``judged``: repo, path, declared, reason. What is declared counts before what the contents look like: a path declared
+    to be neither generated nor vendored counts against its patterns.
+    """
+    hit = F.when(F.col("declared").isNotNull(), F.col("declared") != "none").otherwise(F.col("reason") != "")
+    e = judged.select("repo", hit.cast("int").alias("hit"), F.explode(path_patterns(F.col("path"))).alias("pattern"))
     per = e.groupBy("pattern", "repo").agg(F.count("*").alias("n"), F.sum("hit").alias("m"))
     g = per.groupBy("pattern").agg(F.sum("n").alias("files"), F.sum("m").alias("hits"), F.count("*").alias("repos"))
     return g.where((F.col("files") >= support) & (F.col("repos") >= repos) & (F.col("hits") >= precision * F.col("files"))).select("pattern", "files", (F.col("hits") / F.col("files")).alias("share"))
 
 
-def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5, max_known: int = 4_000_000) -> DataFrame:
-    """repo, path, reason (empty for hand-written source) of every current file.
+def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5, most_bits: int = 1 << 27) -> DataFrame:
+    """repo, path, reason (empty for hand-written source), evidence, pattern of every current file.
 
-    Contents are looked at where they are read and never shuffled: a first pass takes the shingles of vendored texts, a
-    second one gives each row its evidence and compares it with those; only short rows move on.
+    ``reason``: declared generated, declared vendored, pattern, generated, minified, data, copied; the pattern that decides
+    and what the contents say stand beside it. Contents are looked at where they are read and never shuffled: a first pass
+    takes the shingles of vendored texts, a second one gives each row its evidence; only short rows move on.
     """
     old = F.lit("0001-01-01").cast("timestamp")
     rows = files.where("repo is not null and path is not null").select(
         "repo", "path", F.struct(F.coalesce("mtime", old).alias("m"), F.coalesce("ingested_at", old).alias("g"), F.coalesce(F.xxhash64("content"), F.lit(0)).alias("k")).alias("at"),
-        F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"), F.col("path").rlike(VENDOR_DIR).alias("vendored"),
+        F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"), equivalent(F.col("path")).alias("vendored"),
         F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(5), "content").alias("k2"), "content",
     )
     v = cut(vendored_shingles(rows.where("vendored and content is not null and ext != 'md'").select("k1", "k2", "content")))
-    known = known_texts(v, max_known)
-    box = files.sparkSession.sparkContext.broadcast(known)
+    box = files.sparkSession.sparkContext.broadcast(shingle_bits(v, most_bits))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kn = box.value
+        bits = box.value
         memo: dict[tuple, tuple] = {}
         for b in batches:
             out = []
             for k1, k2, ext, own, t in zip(b["k1"], b["k2"], b["ext"], b["vendored"], b["content"]):
                 if t is None or t == "" or ext == "md" or own:
-                    out.append(("", False))
+                    out.append(("", 0, None))
                     continue
                 key = (k1, k2, ext)
                 if key not in memo:
                     if len(memo) > 20_000:
                         memo.clear()
                     ev = content_evidence(t, ext)
-                    memo[key] = (ev, bool(kn is not None and not ev and kn.copied(t, overlap, similarity)))
+                    memo[key] = (ev, *((0, None) if ev else known_part(t, bits, similarity)))
                 out.append(memo[key])
             b = b.drop(columns=["content"])
-            b["ev"], b["copied"] = ([o[i] for o in out] for i in range(2))
+            b["ev"], b["n"], b["maybe"] = ([o[i] for o in out] for i in range(3))
             yield b
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "content") + ", ev string, copied boolean"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "content") + ", ev string, n int, maybe array<bigint>"
     seen = spread(rows).mapInPandas(look, schema)
-    # the current version of each file, in short rows
-    names = [c for c in ("ext", "vendored", "k1", "k2", "ev", "copied")]
+    # the current version of each file, in short rows; only texts that can be copies carry shingles
+    names = ["ext", "vendored", "k1", "k2", "ev", "n", "maybe"]
     cur = cut(seen.groupBy("repo", "path").agg(F.max_by(F.struct(*names), "at").alias("c")).select("repo", "path", *[F.col(f"c.{c}").alias(c) for c in names]))
-    same = v.select("k1", "k2").withColumn("same", F.lit(True))  # exact copies
-    if known is None:
-        keys = cur.where("not vendored and ev = '' and ext != 'md'").select("k1", "k2").distinct()
-        dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-        surv = survivors_by_join(rows.where("content is not null").select("k1", "k2", "content").join(keys, ["k1", "k2"], "left_semi"), dfs, similarity)
-        same = match_copies(surv, v, overlap, similarity).withColumn("same", F.lit(True)).unionByName(same).distinct()
-    attr_files = current_files(files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))).select("repo", "path", "content")
-    slim = cur.select("repo", "path", "ext", "vendored", "k1", "k2", "ev", "copied").join(same, ["k1", "k2"], "left").join(declared(cur.select("repo", "path").join(attr_files, ["repo", "path"], "left")), ["repo", "path"], "left")
-    found = F.when(F.col("vendored"), "vendored").when(F.col("ext") == "md", "").when(F.col("ev") != "", F.col("ev")).when(F.col("copied") | F.col("same"), "copied").otherwise("")
+    surv = cut(survivors(cur.where("maybe is not null").select("k1", "k2", "n", "maybe").dropDuplicates(["k1", "k2"]), v, similarity))
+    same = match_copies(surv, v, overlap, similarity).unionByName(v.select("k1", "k2")).distinct().withColumn("same", F.lit(True))
+    attr_files = cut(current_files(files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))).select("repo", "path", "content"))
+    said = declared(cur.select("repo", "path").join(attr_files, ["repo", "path"], "left"))
+    slim = cur.select("repo", "path", "ext", "vendored", "k1", "k2", "ev").join(same, ["k1", "k2"], "left").join(said, ["repo", "path"], "left")
+    plain = F.col("ext") == "md"
+    found = F.when(F.col("vendored"), "vendored").when(plain, "").when(F.col("ev") != "", F.col("ev")).when(F.col("same"), "copied").otherwise("")
     judged = cut(slim.select("repo", "path", "ext", "declared", found.alias("reason")))
-    # mined patterns: a few, each backed by many files; a missing reason is looked up by pattern
-    pats = mined_patterns(judged.where("ext != 'md' and declared is null"))
-    undeclared = judged.where("reason = '' and declared is null and ext != 'md'").join(attr_files.select("repo").distinct(), "repo", "left_anti").select("repo", "path", F.explode(path_patterns(F.col("path"))).alias("pattern"))
-    by_pattern = undeclared.join(pats, "pattern").select("repo", "path").distinct().withColumn("pattern", F.lit("pattern"))
-    return judged.join(by_pattern, ["repo", "path"], "left").select(
-        "repo", "path", F.when(F.col("declared") == "none", "").when(F.col("declared").isNotNull(), F.concat(F.lit("declared "), "declared")).when(F.col("reason") != "", F.col("reason")).otherwise(F.coalesce("pattern", F.lit(""))).alias("reason")
-    )
+    # patterns: a few, each backed by many files, looked up by name in the repositories that declare nothing
+    pats = mined_patterns(judged.where(~plain))
+    free = judged.where(F.col("declared").isNull() & ~plain).join(attr_files.select("repo").distinct(), "repo", "left_anti").select("repo", "path", F.explode(path_patterns(F.col("path"))).alias("pattern"))
+    by_pattern = free.join(pats, "pattern").groupBy("repo", "path").agg(F.min("pattern").alias("mined"))
+    by_rule = F.when(F.col("reason") == "vendored", F.coalesce("mined", F.lit("equivalent"))).otherwise(F.col("mined"))
+    reason = F.when(F.col("declared") == "none", "").when(F.col("declared").isNotNull(), F.concat(F.lit("declared "), "declared")).when(F.col("pattern").isNotNull(), "pattern").otherwise(F.col("reason"))
+    return judged.join(by_pattern, ["repo", "path"], "left").withColumn("pattern", by_rule).select("repo", "path", reason.alias("reason"), F.col("reason").alias("evidence"), "pattern")

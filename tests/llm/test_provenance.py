@@ -38,15 +38,17 @@ def test_content_evidence():
 
 
 def test_attributes():
-    text = "# c\n*.pb.go linguist-generated\nlib/** -linguist-vendored\n/gen/ linguist-generated=true\n*.py text\n"
-    assert parse_attributes(text) == [("*.pb.go", "generated", True), ("lib/**", "vendored", False), ("/gen/", "generated", True)]
+    text = "# c\n*.pb.go linguist-generated\nlib/** -linguist-vendored !linguist-generated\n/gen/** linguist-generated=true\n*.py text\n"
+    assert parse_attributes(text) == [("*.pb.go", "generated", True), ("lib/**", "vendored", False), ("lib/**", "generated", None), ("/gen/**", "generated", True)]
     import re
 
-    for pat, yes, no in [("*.go", ["a.go", "x/a.go"], ["a.gob"]), ("/a/*.go", ["a/b.go"], ["a/c/b.go", "x/a/b.go"]), ("a/**/b", ["a/b", "a/c/d/b"], ["ab"]), ("gen/", ["gen/x", "y/gen/x/z"], ["gen.py"]), ("f?[!a]", ["fxb"], ["fxa"])]:
+    for pat, yes, no in [("*.go", ["a.go", "x/a.go"], ["a.gob"]), ("/a/*.go", ["a/b.go"], ["a/c/b.go", "x/a/b.go"]), ("a/**/b", ["a/b", "a/c/d/b"], ["ab"]), ("gen/", [], ["gen/x", "y/gen/x/z", "gen.py", "gen/"]), ("gen/**", ["gen/x", "gen/x/z"], ["y/gen/x"]), ("**/gen/**", ["gen/x", "y/gen/x/z"], ["gen.py"]), ("f?[!a]", ["fxb"], ["fxa"])]:
         rx = glob_regex(pat)
         assert all(re.fullmatch(rx, p) for p in yes) and not any(re.fullmatch(rx, p) for p in no), pat
     files = [("", "*.ts linguist-generated\n*.js linguist-vendored"), ("a/", "*.ts -linguist-generated\nkeep.js -linguist-vendored\n*.js linguist-vendored")]
     assert decide_declared("x.ts", files[:1]) == "generated" and decide_declared("a/x.ts", files) == "none"
+    back = [*files, ("a/b/", "*.ts !linguist-generated\n*.js linguist-vendored=false")]
+    assert decide_declared("a/b/x.ts", back) is None and decide_declared("a/b/x.js", back) == "none" and decide_declared("a/x.ts", back) == "none"
     assert decide_declared("a/keep.js", files) == "vendored" and decide_declared("x.py", files) is None
 
 
@@ -58,7 +60,7 @@ def test_copies_equal_brute_force(spark):
     texts += [(200, "a b", False), (201, "", False), (202, source(77), False)]
     df = spark.createDataFrame(texts, "k1 long, content string, origin boolean").withColumn("k2", F.lit(0).cast("long"))
     got = {r.k1 for r in copies(df).collect()}
-    assert got == {r.k1 for r in copies(df, max_known=10).collect()}
+    assert got == {r.k1 for r in copies(df, most_bits=1 << 15).collect()}
     sets = {i: set(shingles(t).tolist()) for i, t, _ in texts}
     want = {i for i, _, o in texts if not o for j in range(6) if (x := sets[i] & sets[j]) and len(x) >= 0.8 * min(len(sets[i]), len(sets[j])) and len(x) >= 0.5 * len(sets[i] | sets[j])}
     assert got == want and want
@@ -76,10 +78,10 @@ def test_frame(spark):
     out = provenance(df).collect()
     got = {(r.repo, r.path): r.reason for r in out}
     assert len(out) == len(got) == len({(a, b) for a, b, *_ in rows if a})
-    assert got["r", "vendor/x/a.py"] == "vendored" and got["q", "src/a.py"] == got["q", "src/same.py"] == "copied"
+    assert got["r", "vendor/x/a.py"] == "pattern" and got["q", "src/a.py"] == got["q", "src/same.py"] == "copied"
     assert all(got["q", p] == "" for p in ("src/own.py", "src/vendors/b.py", "n.py", "e.py", "old.py", "README.md"))
     assert got["d", "a/b.txt"] == "declared generated" and got["d", "x.py"] == "" and got["d", "y.py"] == "generated"
-    assert got["m5", "bare_pb2.py"] in ("pattern", "") and got["m1", "p1_pb2.py"] == "generated"
+    assert got["m5", "bare_pb2.py"] == "" and got["m1", "p1_pb2.py"] == "generated"  # 24 of 25 are too few for a pattern
     assert provenance(df.limit(0)).count() == 0
 
 
@@ -87,4 +89,19 @@ def test_mined_patterns(spark):
     rows = [(f"r{i % 4}", f"a{i}.gen.ts", "generated") for i in range(60)] + [("r9", "b.gen.ts", "")] + [(f"r{i % 4}", f"dist/a{i}.ts", "") for i in range(60)]
     from stratigraph.llm.provenance import mined_patterns
 
-    assert {r.pattern for r in mined_patterns(spark.createDataFrame(rows, "repo string, path string, reason string")).collect()} == {"*.gen.ts"}
+    assert {r.pattern for r in mined_patterns(spark.createDataFrame(rows, "repo string, path string, reason string").withColumn("declared", F.lit(None).cast("string"))).collect()} == {"*.gen.ts"}
+
+
+def test_declarations_teach_other_repositories(spark):
+    """Nothing in the contents tells: repositories that declare an ending make it a pattern for those that do not."""
+    rows = [(f"d{k}", ".gitattributes", "*_gen.go linguist-generated\n**/keep/** -linguist-generated", 1) for k in range(3)]
+    rows += [(f"d{k}", f"api/x{i}_gen.go", source(100 * k + i), 1) for k in range(3) for i in range(8)]
+    rows += [("d0", "keep/y_gen.go", source(900), 1), ("u", "p/z_gen.go", source(901), 1), ("u", "p/hand.go", source(902), 1), ("own", "a/.gitattributes", "* text", 1), ("own", "a/w_gen.go", source(903), 1)]
+    df = spark.createDataFrame(rows, "repo string, path string, content string, m int").withColumn("mtime", F.timestamp_seconds("m")).withColumn("ingested_at", F.col("mtime"))
+    got = {(r.repo, r.path): (r.reason, r.pattern) for r in provenance(df).collect()}
+    assert got["d1", "api/x1_gen.go"][0] == "declared generated" and got["d0", "keep/y_gen.go"][0] == ""
+    assert got["u", "p/hand.go"] == ("", None) and got["own", "a/w_gen.go"][0] == ""  # it has an attribute file of its own
+    assert got["u", "p/z_gen.go"] == ("", None)  # 24 of 26: the declared contrary and the others count
+    more = df.where("path != 'keep/y_gen.go' and repo != 'own' and repo != 'u'").unionByName(df.where("repo = 'u'"))
+    fresh = {(r.repo, r.path): (r.reason, r.pattern) for r in provenance(more.unionByName(more.where("repo = 'd0'").withColumn("repo", F.lit("d9"))).unionByName(more.where("repo like 'd%'").withColumn("repo", F.concat(F.lit("e"), "repo"))), overlap=1.0, similarity=1.0).collect()}
+    assert fresh["u", "p/z_gen.go"] == ("pattern", "*_gen.go") and fresh["u", "p/hand.go"][0] == ""
