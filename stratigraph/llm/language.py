@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ SCALE = 12.0
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _MARKUP = re.compile(r"&[a-z#0-9]{1,8};|</?[a-zA-Z][^<>\n]{0,60}>|https?://\S+|\[\s*\d[^\]\n]*\]")
-_NAMES = re.compile(r"\S*(?:[_/\\@#=]|\w\.\w|\w\(|::|--|[a-z][A-Z]|\d)\S*")
+_NAME_PART = re.compile(r"[_/\\@#=\d]|(?<=[a-z])[A-Z]|::|--|(?<=\w)(?:\(|\.\w)")
+_MAY_MARK = re.compile(r"[&<\[]|://")
 _SENTENCE = re.compile(r"(?<=[.!?…])[)\"'»”’]*\s+|(?<=[。！？])|[\r\n]+")
 _LEAD = re.compile(r"^[\s>*#\-+•·\d.()]*(?:\(?[A-Za-z]{2,16}\)?:\s+)?")
 _MARKS = re.compile(r"[{};=|\\^~<>]|\w\((?!s\))")
@@ -57,8 +59,8 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     blank = lambda m: " " * len(m[0])
-    body = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    body = _MARKUP.sub(blank, body)
+    body = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) if "`" in text else text
+    body = _MARKUP.sub(blank, body) if _MAY_MARK.search(body) else body
     out, pos = [], 0
     for cut in [*(m.span() for m in _SENTENCE.finditer(body)), (len(body), len(body))]:
         start, end = pos, cut[0]
@@ -69,11 +71,15 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
         last = s.rstrip()[-1:]
         if _MARKS.search(s) or (last and last in ":;{(" and _CODE.search(s.rstrip())):
             continue
-        clean = s if s.isascii() else _MOJIBAKE.sub(_repair, s)
-        clean = _NAMES.sub(" ", clean)
-        clean = (clean if clean.isascii() else unicodedata.normalize("NFKC", clean)).lower()
-        words = [w for w in _WORD.findall(clean) if len(w) <= 30 or _CJK.search(w)]
-        cjk = sum(len(_CJK.findall(w)) for w in words)
+        plain = s.isascii()
+        clean = s if plain else _MOJIBAKE.sub(_repair, s)
+        if _NAME_PART.search(clean):  # names, paths, calls and numbers are no words of a language
+            clean = " ".join([w for w in clean.split() if not _NAME_PART.search(w)])
+        clean = (clean if plain else unicodedata.normalize("NFKC", clean)).lower()
+        words = _WORD.findall(clean)
+        if any([len(w) > 30 for w in words]):
+            words = [w for w in words if len(w) <= 30 or _CJK.search(w)]
+        cjk = 0 if plain else sum(len(_CJK.findall(w)) for w in words)
         ended = s.rstrip(" )\"'»”’*_`")[-1:] in set(".!?…。！？")
         if cjk >= 4 or (len(words) >= (3 if ended else 4) and sum(map(len, words)) >= 9):
             out.append((start + lead, end, " ".join(words)))
@@ -117,17 +123,11 @@ def weights_of(idx: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 def logits(idx: np.ndarray, val: np.ndarray, counts: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One row of class scores a text."""
     out = np.zeros((len(counts), w.shape[1]))
-    ends = np.cumsum(counts)
-    i = 0
-    while i < len(counts):  # in slices of bounded size
-        base = ends[i] - counts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + 500_000, side="right")))
-        a, b = base, ends[j - 1]
-        if b > a:
-            p = np.vstack([w[idx[a:b]] * val[a:b, None], np.zeros((1, w.shape[1]))])
-            out[i:j] = np.add.reduceat(p, np.minimum(ends[i:j] - counts[i:j] - a, b - a), axis=0)
-        out[i:j][counts[i:j] == 0] = 0
-        i = j
+    some = np.flatnonzero(counts)
+    if len(some):
+        starts = (np.cumsum(counts) - counts)[some]
+        for k in range(w.shape[1]):  # a column at a time stays in the cache
+            out[some, k] = np.add.reduceat(w[:, k].copy()[idx] * val, starts)
     return out
 
 
@@ -186,10 +186,13 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = []
-        for i in range(0, len(texts), 2000):  # slices of bounded memory
-            idx, counts = features(texts[i : i + 2000])
-            out.append(logits(idx, weights_of(idx, counts, self.idf), counts, self.w))
-        return np.concatenate(out)
+        at: dict[str, int] = {}
+        where = np.fromiter((at.setdefault(t, len(at)) for t in texts), np.int64, len(texts))
+        once = list(at)  # a sentence that repeats is scored once
+        for i in range(0, len(once), 2000):  # slices of bounded memory
+            idx, counts = features(once[i : i + 2000])
+            out.append(logits(idx, weights_of(idx, counts, self.idf).astype(np.float32), counts, self.w))
+        return np.concatenate(out)[where]
 
     def predict(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -239,13 +242,15 @@ def corpus_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            texts = [s[2] for t in b[text_col] for s in sentences(t)]
-            for i in range(0, len(texts), 2000):
-                part = texts[i : i + 2000]
+            texts = Counter(s[2] for t in b[text_col] for s in sentences(t))
+            once, often = list(texts), np.fromiter(texts.values(), np.float64, len(texts))
+            n += int(often.sum())
+            for i in range(0, len(once), 2000):
+                part = once[i : i + 2000]
                 idx, counts = features(part)
                 own = np.repeat(np.arange(len(part), dtype=np.int32), counts)
-                df += np.bincount(np.unique(own << 16 | idx) & (BUCKETS - 1), minlength=BUCKETS)
-                n += len(part)
+                seen = np.unique(own << 16 | idx)
+                df += np.bincount(seen & (BUCKETS - 1), weights=often[i : i + 2000][seen >> 16], minlength=BUCKETS).astype(np.int64)
         yield pd.DataFrame({"k": np.r_[-1, np.flatnonzero(df)], "v": np.r_[n, df[df > 0]]})
 
     got = spread(docs.select(text_col)).mapInPandas(count, "k int, v bigint").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
