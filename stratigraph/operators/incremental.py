@@ -6,7 +6,8 @@ appear while it runs belong to the next run. ``seen_state`` is what the commits
 (the latest commit that lists a record wins); ``pending`` is every present record whose state differs from it.
 
 ``IncrementalStore`` keeps output and watermark together: a commit writes the output under a new version folder and
-then publishes one small commit file, created atomically and naming both the folder and the watermark. A run that dies
+then publishes one small commit file, created exclusively and naming both the folder and the watermark; ``process_pending``
+is such a run over files and chunks. A run that dies
 before that leaves nothing visible, so no record is skipped; a run repeated after it finds the new watermark, so
 none is processed twice.
 
@@ -18,10 +19,12 @@ greatest counts; commits with one finish time are ordered by run_id.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,12 +85,41 @@ def pending_records(files: DataFrame, chunks: DataFrame, run_manifest: DataFrame
     return pending(current_files(files).unionByName(current_chunks(chunks)), seen_state(run_manifest, run_log, limit))
 
 
+def process_pending(files: DataFrame, chunks: DataFrame, run_manifest: DataFrame, run_log: DataFrame, root: str) -> DataFrame:
+    """One run over all pending files and chunks, committed to the store under ``root``; what it has processed.
+
+    The watermark is the sequence number up to which commits were read when the run began.
+    """
+    limit = upper_limit(run_log)
+    work = pending(current_files(files).unionByName(current_chunks(chunks)), seen_state(run_manifest, run_log, limit))
+    return IncrementalStore(files.sparkSession, root).commit(work, limit)
+
+
+_KINDS = {"datetime": datetime.datetime, "date": datetime.date}
+
+
+def _pack(x):
+    """A watermark for JSON: numbers and texts as they are, moments with their kind."""
+    for name, kind in _KINDS.items():
+        if type(x) is kind:
+            return {name: x.isoformat()}
+    return {"decimal": str(x)} if isinstance(x, decimal.Decimal) else x
+
+
+def _unpack(x):
+    if not isinstance(x, dict):
+        return x
+    (name, text), = x.items()
+    return decimal.Decimal(text) if name == "decimal" else _KINDS[name].fromisoformat(text)
+
+
 class IncrementalStore:
     """Versioned output whose data and watermark become visible together.
 
-    Layout under ``root`` (a folder all executors share): ``data/<version>/`` holds Parquet, ``commits/<seq>.json``
-    one commit each. The commit file is written under a private name and renamed without overwriting; the rename
-    is the commit. Two runs that race for one sequence number cannot both win.
+    Layout under ``root`` (a folder all executors share): ``data/version=<version>/`` holds Parquet, ``commits/<seq>.json``
+    one commit each. The commit file is created exclusively: of two runs that race for one sequence number one fails
+    and publishes nothing. This needs a file system on which creating a file that exists fails, as on HDFS and local disks;
+    object stores need one with conditional writes. A run that dies earlier leaves a version that no commit names.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -97,18 +129,14 @@ class IncrementalStore:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _commits(self) -> list[dict]:
-        d = self._path(f"{self.root}/commits")
-        if not self._fs.exists(d):
+        """All commits, by one read of the folder; a row per run."""
+        if not self._fs.exists(self._path(f"{self.root}/commits")):
             return []
-        out = []
-        for st in self._fs.listStatus(d):
-            name = st.getPath().getName()
-            if name.endswith(".json") and not name.startswith("."):
-                row = self.spark.read.text(f"{self.root}/commits/{name}", wholetext=True).first()
-                out.append(json.loads(row[0]))
-        return sorted(out, key=lambda c: c["seq"])
-
-    def watermark(self) -> int | None:
+        rows = self.spark.read.option("pathGlobFilter", "*.json").text(f"{self.root}/commits", wholetext=True).collect()
+        out = [json.loads(r[0]) for r in rows if r[0].strip()]
+        return sorted([c | {"watermark": _unpack(c["watermark"])} for c in out], key=lambda c: c["seq"])
+
+    def watermark(self):
         """Upper limit of the last commit; None before the first."""
         c = self._commits()
         return c[-1]["watermark"] if c else None
@@ -123,27 +151,30 @@ class IncrementalStore:
         part = source.where(F.col(seq_col) <= F.lit(high))
         if low is not None:
             part = part.where(F.col(seq_col) > F.lit(low))
-        version = uuid.uuid4().hex
-        transform(part).write.parquet(f"{self.root}/data/{version}")
-        self._publish(len(done) + 1, version, high)
-        return self.spark.read.parquet(f"{self.root}/data/{version}")
+        return self.commit(transform(part), high, len(done) + 1)
+
+    def commit(self, output: DataFrame, watermark, seq: int | None = None) -> DataFrame:
+        """Write an output and publish it with its watermark; the output as it was written."""
+        seq = seq or len(self._commits()) + 1
+        version = "v" + uuid.uuid4().hex
+        at = f"{self.root}/data/version={version}"
+        output.write.parquet(at)
+        self._publish(seq, version, watermark)
+        return self.spark.read.schema(output.schema).parquet(at)
 
     def _publish(self, seq: int, version: str, high) -> None:
-        tmp, final = self._path(f"{self.root}/commits/.{version}.tmp"), self._path(f"{self.root}/commits/{seq:012d}.json")
-        out = self._fs.create(tmp, False)
-        out.write(bytearray(json.dumps({"seq": seq, "version": version, "watermark": high}).encode()))
+        final = self._path(f"{self.root}/commits/{seq:012d}.json")
+        try:
+            out = self._fs.create(final, False)
+        except Exception as e:  # whoever creates the file first has the number
+            raise RuntimeError(f"commit {seq} was taken by another run; nothing was published") from e
+        out.write(bytearray(json.dumps({"seq": seq, "version": version, "watermark": _pack(high)}).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
-            self._fs.delete(tmp, False)
-            raise RuntimeError(f"commit {seq} was taken by another run; nothing was published")
 
     def read(self) -> DataFrame | None:
-        """All committed output."""
+        """All committed output: one scan of the folder, of which only committed versions count."""
         c = self._commits()
-        return self.spark.read.parquet(*[f"{self.root}/data/{x['version']}" for x in c]) if c else None
-
-
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the last by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        if not c:
+            return None
+        good = self.spark.createDataFrame([(x["version"],) for x in c], "version string")
+        return self.spark.read.parquet(f"{self.root}/data").join(F.broadcast(good), "version", "left_semi").drop("version")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.session import cut
+
 BLANK = r"^\s+|\s+$"
 
 
@@ -58,32 +60,60 @@ def dead_at(at: Column, lives: Column) -> Column:
     return ~F.coalesce(alive, F.lit(False))
 
 
-def orphan_references(nodes: DataFrame, edges: DataFrame, heavy_share: float = 0.005, ref_id: str = "edge_id", ends: dict[str, str] | None = None) -> DataFrame:
-    """Orphaned references: ref_id, endpoint, key, at; repeated references may repeat.
+def heavy_keys(refs: DataFrame, lives: DataFrame, most: int, heavy_share: float, max_lives: int) -> list[str]:
+    """Keys with more than ``heavy_share`` of ``most`` references and at most ``max_lives`` lifetimes: 1 / heavy_share at most."""
+    n = refs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy_share * most)
+    keys = [r["key"] for r in n.orderBy(F.desc("n"), "key").limit(int(1 / heavy_share)).collect()]
+    if not keys:
+        return []
+    size = {r["key"]: r["s"] for r in lives.where(F.col("key").isin(keys)).select("key", F.size("lives").alias("s")).collect()}
+    return [k for k in keys if size.get(k, 0) <= max_lives]
 
-    ``heavy_share``: a key with more than this share of all references is heavy; there are at most 1/heavy_share.
-    """
-    spark = edges.sparkSession
-    lives = lifetimes(nodes)
-    refs = references(edges, ref_id=ref_id, ends=ends)
-    counts = refs.groupBy("key").agg(F.count("*").alias("n"))
-    # top 1/share keys by count hold every heavy key; a bounded result of at most 1/share short rows
-    top = counts.orderBy(F.desc("n")).limit(int(1 / heavy_share)).collect()
-    n_all = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = [r["key"] for r in top if r["n"] > heavy_share * n_all]
+
+def with_lives(rows: DataFrame, lives: DataFrame, heavy: list[str]) -> DataFrame:
+    """Rows with the lifetimes of their key: heavy keys by a broadcast of as many short rows, all others by a shuffle."""
     if not heavy:
-        return refs.join(lives, "key", "left").where(dead_at(F.col("at"), F.col("lives"))).select("ref_id", "endpoint", "key", "at")
-    heavy_df = spark.createDataFrame([(k,) for k in heavy], "key string")
-    # lifetimes of at most 1/heavy_share keys: a bounded number of rows, safe to broadcast
-    heavy_lives = heavy_df.join(lives, "key", "left")
+        return rows.join(lives, "key", "left")
     is_heavy = F.col("key").isin(heavy)
-    hot = refs.where(is_heavy).join(F.broadcast(heavy_lives), "key", "left")
-    cold = refs.where(~is_heavy).join(lives, "key", "left")
-    out = hot.unionByName(cold)
-    return out.where(dead_at(F.col("at"), F.col("lives"))).select("ref_id", "endpoint", "key", "at")
+    few = rows.sparkSession.createDataFrame([(k,) for k in heavy], "key string").join(lives.where(is_heavy), "key", "left")
+    return rows.where(is_heavy).join(F.broadcast(few), "key", "left").unionByName(rows.where(~is_heavy).join(lives, "key", "left"))
+
 
+def orphan_references(nodes: DataFrame, edges: DataFrame, heavy_share: float = 0.005, ref_id: str = "edge_id", ends: dict[str, str] | None = None, max_lives: int = 10_000) -> DataFrame:
+    """Orphaned references: ref_id, endpoint, key, at; repeated references may repeat.
 
-def orphan_report(nodes: DataFrame, edges: DataFrame, period: str = "month", **kw) -> DataFrame:
-    """Orphans per table end and period: endpoint, period, orphans (distinct references), keys (distinct keys)."""
-    o = orphan_references(nodes, edges, **kw).distinct()
-    return o.groupBy("endpoint", F.date_trunc(period, "at").alias("period")).agg(F.count("*").alias("orphans"), F.count_distinct("key").alias("keys"))
+    ``heavy_share``: a key with more than this share of all references is heavy; there are at most 1/heavy_share. One with
+    more than ``max_lives`` lifetimes is not broadcast.
+    """
+    lives, refs = lifetimes(nodes), references(edges, ref_id=ref_id, ends=ends)
+    heavy = heavy_keys(refs, lives, edges.count() * len(ends or "ft"), heavy_share, max_lives)
+    return with_lives(refs, lives, heavy).where(dead_at(F.col("at"), F.col("lives"))).select("ref_id", "endpoint", "key", "at")
+
+
+def orphan_report(nodes: DataFrame, edges: DataFrame, period: str = "month", heavy_share: float = 0.005, ref_id: str = "edge_id", ends: dict[str, str] | None = None, max_lives: int = 10_000) -> DataFrame:
+    """Orphans per table end and period: endpoint, period, orphans (distinct references), keys (distinct keys).
+
+    References are counted per end, key and period first, with the first and the last moment. Where one lifetime of the key
+    covers that span, or none touches it, the count is the answer; only references of keys that are born or go within it
+    are judged one by one. Counts of both are united.
+    """
+    lives = lifetimes(nodes)
+    rows = references(edges, ref_id=ref_id, ends=ends)
+    group = ["endpoint", "key", "period"]
+    rows = rows.withColumn("period", F.date_trunc(period, "at"))
+    heavy = heavy_keys(rows, lives, edges.count() * len(ends or "ft"), heavy_share, max_lives)
+    per = rows.select(*group, "ref_id", "at").distinct().groupBy(*group).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    life = with_lives(per, lives, heavy)
+    some = lambda test: F.coalesce(F.exists("lives", test), F.lit(False))
+    covered = some(lambda x: (x["born"] <= F.col("lo")) & (x["gone"].isNull() | (x["gone"] > F.col("hi"))))
+    touched = some(lambda x: (x["born"] <= F.col("hi")) & (x["gone"].isNull() | (x["gone"] > F.col("lo"))))
+    judged = cut(life.select(*group, "n", F.when(covered, "alive").when(touched, "both").otherwise("dead").alias("state")))
+    both = judged.where("state = 'both'").select("endpoint", "key", F.col("period").alias("_p"))
+    # null periods are null moments, which no lifetime touches: equality will do
+    is_heavy = F.col("key").isin(heavy) if heavy else F.lit(False)
+    on = [rows[c] == both[b] for c, b in (("endpoint", "endpoint"), ("key", "key"), ("period", "_p"))]
+    # heavy keys times periods times ends: as bounded as the heavy keys
+    single = rows.where(is_heavy).join(F.broadcast(both.where(is_heavy)), on, "left_semi").unionByName(rows.where(~is_heavy).join(both.where(~is_heavy), on, "left_semi"))
+    exact = with_lives(single, lives, heavy).where(dead_at(F.col("at"), F.col("lives"))).select(*group, "ref_id", "at").distinct().groupBy(*group).agg(F.count("*").alias("n"))
+    counts = judged.where("state = 'dead'").select(*group, "n").unionByName(exact)
+    return counts.groupBy("endpoint", "period").agg(F.sum("n").alias("orphans"), F.count_distinct("key").alias("keys"))

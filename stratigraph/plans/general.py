@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratigraph.operators import incremental, orphans
-from stratigraph.session import table
+from stratigraph.session import shared_folder, table
 
 
 def p5_found(spark, d):
@@ -19,7 +21,9 @@ def p5_report(spark, d):
 
 
 def p6_found(spark, d):
-    p = incremental.pending_records(table(spark, d, "files"), table(spark, d, "chunks"), table(spark, d, "run_manifest"), table(spark, d, "run_log"))
+    # a committed run into a store of its own
+    root = f"{shared_folder(spark)}/p6-{uuid.uuid4().hex}"
+    p = incremental.process_pending(table(spark, d, "files"), table(spark, d, "chunks"), table(spark, d, "run_manifest"), table(spark, d, "run_log"), root)
     return p.select("record_kind", "record_key")
 
 

@@ -27,17 +27,23 @@ def build_session(app: str = "stratigraph", cpus: str = "*", **conf: str) -> Spa
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, whose files go when nothing refers to it any more.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary one is set only where neither that
+    It is the one the cluster names in ``spark.checkpoint.dir``. A temporary one is set only where neither that
     setting nor a checkpoint directory exists and all runs on one machine; a cluster without a shared folder is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named and not (sc.master or "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratigraph-ckpt-"))
-    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder, whose files go when nothing refers to it any more."""
+    shared_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -89,3 +90,27 @@ def test_store_neither_skips_nor_repeats(spark, tmp_path):
     with pytest.raises(RuntimeError):  # a second run that started from the same state
         store._publish(2, "other", 99)
     assert store.watermark() == 8 and sorted(r.seq for r in store.read().collect()) == list(range(9))
+
+
+def test_store_with_moments(spark, tmp_path):
+    """A timestamp as the sequence: nothing is lost or repeated, and the watermark comes back as it was."""
+    store = inc.IncrementalStore(spark, f"file://{tmp_path}/store2")
+    rows = lambda a, b: spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, i), i) for i in range(a, b)], "seq timestamp, v int")
+    assert store.run(rows(0, 3), "seq", lambda d: d).count() == 3
+    assert store.watermark() == datetime(2024, 1, 1, 0, 0, 2)
+    assert [r.v for r in store.run(rows(0, 5), "seq", lambda d: d).orderBy("v").collect()] == [3, 4]
+    assert store.run(rows(0, 5), "seq", lambda d: d) is None and store.read().count() == 5
+
+
+def test_report_equals_counting_one_by_one(spark):
+    """Periods in which a key is born or goes, heavy keys, repeats and null moments."""
+    rnd = random.Random(4)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    nodes = [(f"k{i}", day(rnd.randint(0, 80)), rnd.choice([None, day(rnd.randint(20, 120))])) for i in range(30) for _ in range(rnd.randint(0, 2))]
+    edges = [(i, rnd.choice(["k0", " K0", f"k{rnd.randint(0, 34)}", None]), rnd.choice(["", f"k{rnd.randint(0, 34)}"]), rnd.choice([None, *(day(rnd.randint(0, 120)) for _ in range(8))])) for i in range(400)]
+    n = spark.createDataFrame(nodes, "id string, recorded_at timestamp, deleted_at timestamp")
+    e = spark.createDataFrame(edges + edges[:40], "edge_id int, from_id string, to_id string, recorded_at timestamp")
+    one = orph.orphan_references(n, e).distinct().groupBy("endpoint", F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("orphans"), F.count_distinct("key").alias("keys"))
+    want = sorted(map(str, one.collect()))
+    for share in (0.005, 0.2, 0.9):
+        assert sorted(map(str, orph.orphan_report(n, e, heavy_share=share).collect())) == want
