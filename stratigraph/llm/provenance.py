@@ -13,9 +13,8 @@ What decides, in this order:
   without its strings and comments has long lines, hardly any white space and short names. Data: nearly all of the
   code is literals, with a handful of words around them.
 * copied: the five-word shingles of the code, without comments, overlap those of a file under a vendored pattern by
-  ``overlap`` (of the smaller) and ``similarity`` (Jaccard). One plan at any size: a bit map of the vendored shingles, of a
-  bounded number of bits, keeps texts that can be similar to none from sending anything on; what is left meets the vendored
-  shingles rarest first, and counts are exact.
+  ``overlap`` (of the smaller) and ``similarity`` (Jaccard). One plan at any size: the vendored texts are cut into blocks of a
+  bounded number of shingles, each sent to the scans once; counts are exact. A table with more vendored code takes more scans.
 
 Cases: null contents are judged by path only; empty contents have no content evidence; repeated rows and old versions do
 not count; equal texts are examined once; a missing attribute file declares nothing; a pattern that ends in a slash
@@ -230,6 +229,33 @@ def declared(cur: DataFrame) -> DataFrame:
 # ---- copies
 
 
+class Known:
+    """Vendored texts by their shingles, of a size checked before it is shipped; tells which texts are copies."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        h = np.concatenate([np.asarray(x, np.int64) for x in sets]) if sets else np.zeros(0, np.int64)
+        own = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        o = np.argsort(h, kind="stable")
+        self.text = own[o]
+        self.h, self.start = np.unique(h[o], return_index=True)
+        self.end = np.r_[self.start[1:], len(h)] if len(h) else self.start
+
+    def copied(self, text: str, overlap: float, similarity: float) -> bool:
+        """Whether some vendored text overlaps this one enough: exact counts, by the lists of its shingles."""
+        s = shingles(text)
+        if not len(s) or not len(self.h):
+            return False
+        i = np.minimum(np.searchsorted(self.h, s), len(self.h) - 1)
+        i = i[self.h[i] == s]
+        if len(i) < similarity * len(s):
+            return False  # all of them together are too few for any one
+        a, k = self.start[i], self.end[i] - self.start[i]
+        at = np.repeat(a - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
+        both = np.bincount(self.text[at], minlength=len(self.n))
+        return bool(((both >= overlap * np.minimum(self.n, len(s))) & (both >= similarity * (self.n + len(s) - both))).any())
+
+
 def vendored_shingles(texts: DataFrame) -> DataFrame:
     """k1, k2, n, hs: the shingles of each distinct text. ``texts``: k1, k2, content."""
 
@@ -241,64 +267,35 @@ def vendored_shingles(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "k1 bigint, k2 bigint, n int, hs array<bigint>").where("n > 0").dropDuplicates(["k1", "k2"])
 
 
-def shingle_bits(v: DataFrame, most: int) -> np.ndarray:
-    """A bit per shingle of ``v`` at its hash modulo the number of bits: a power of two, at most ``most`` whatever the table."""
-    hs = v.select(F.explode("hs").alias("h"))
-    n = hs.count()
-    size = 1 << 15
-    while size < min(most, 16 * n):
-        size <<= 1
-    at = F.pmod(F.col("h"), F.lit(size)) + 1  # positions of these functions count from 1
-    rows = hs.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros((size >> 15, 1 << 12), np.uint8)
-    for r in rows:
-        out[r["k"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.ravel()
+def blocks_of(v: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """``v`` with the block of each text, and how many blocks: by hash, about ``most`` shingles in each."""
+    n = max(1, -(-(v.agg(F.sum("n")).first()[0] or 0) // most))
+    return v.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "k1", "k2"), F.lit(n)).cast("int")), n
 
 
-def may_be_known(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Which shingles can be among those of a bit map."""
-    at = s & np.int64(8 * len(bits) - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def known_block(v: DataFrame, block: int) -> Known:
+    """The vendored texts of one block as arrays: the size of a block, whatever the size of the table."""
+    return Known(list(v.where(F.col("block") == block).select("hs").toPandas()["hs"]))
 
 
-def survivors(texts: DataFrame, v: DataFrame, similarity: float) -> DataFrame:
-    """k1, k2, n, found: texts (k1, k2, n, maybe) with enough vendored shingles, these rarest first."""
-    dfs = v.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    g = texts.select("k1", "k2", "n", F.explode("maybe").alias("h")).join(dfs, "h").groupBy("k1", "k2", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("a"))
-    return g.where(F.size("a") >= similarity * F.col("n")).select("k1", "k2", "n", F.transform("a", lambda e: e["h"]).alias("found"))
+def copied_in_blocks(texts: DataFrame, v: DataFrame, first: int, n: int, overlap: float, similarity: float) -> DataFrame:
+    """k1, k2 of texts (k1, k2, content) that are copies of a vendored text of the blocks from ``first`` on: a scan a block."""
+    out = texts.sparkSession.createDataFrame([], "k1 bigint, k2 bigint")
+    for block in range(first, n):
+        box = texts.sparkSession.sparkContext.broadcast(known_block(v, block))
 
+        def run(batches: Iterator[pd.DataFrame], box=box) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.loc[[box.value.copied(t, overlap, similarity) for t in b["content"]], ["k1", "k2"]]
 
-def match_copies(surv: DataFrame, v: DataFrame, overlap: float, similarity: float) -> DataFrame:
-    """k1, k2 of texts similar to a vendored one. ``surv``: k1, k2, n, found; ``v``: k1, k2, n, hs."""
-    # of the shingles found, a similar text holds ceil(similarity * n) at least: one of the rarest rest + 1
-    pre = surv.select("k1", "k2", "n", F.explode(F.slice("found", 1, (F.size("found") - F.ceil(similarity * F.col("n")) + 1).cast("int"))).alias("h"))
-    vv = v.select(F.explode("hs").alias("h"), F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("n").alias("vn"))
-    cand = pre.join(vv, "h").where(F.col("vn").between(similarity * F.col("n"), F.col("n") / similarity)).select("k1", "k2", "v1", "v2").distinct()
-    pairs = cand.join(surv, ["k1", "k2"]).join(v.select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("n").alias("vn"), "hs"), ["v1", "v2"])
-    both = F.size(F.array_intersect("found", "hs"))
-    return pairs.where((both >= overlap * F.least("n", "vn")) & (both >= similarity * (F.col("n") + F.col("vn") - both))).select("k1", "k2").distinct()
+        out = out.unionByName(cut(spread(texts).mapInPandas(run, "k1 bigint, k2 bigint").distinct()))
+    return out.distinct()
 
 
-def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5, most_bits: int = 1 << 27) -> DataFrame:
+def copies(texts: DataFrame, overlap: float = 0.8, similarity: float = 0.5, block: int = 4_000_000) -> DataFrame:
     """k1, k2 of texts that are copies of a vendored text. ``texts``: k1, k2, content, origin."""
-    v = cut(vendored_shingles(texts.where("origin").select("k1", "k2", "content")))
-    box = texts.sparkSession.sparkContext.broadcast(shingle_bits(v, most_bits))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [known_part(t, box.value, similarity) for t in b["content"]]
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n": [g[0] for g in got], "maybe": [g[1] for g in got]})
-
-    x = texts.where("not origin").select("k1", "k2", "content").mapInPandas(run, "k1 bigint, k2 bigint, n int, maybe array<bigint>")
-    return match_copies(cut(survivors(x.where("maybe is not null").dropDuplicates(["k1", "k2"]), v, similarity)), v, overlap, similarity)
-
-
-def known_part(text: str, bits: np.ndarray, similarity: float) -> tuple[int, list[int] | None]:
-    """Number of shingles of a text, and those that may be vendored; None where they are too few for any copy."""
-    s = shingles(text)
-    m = s[may_be_known(bits, s)] if len(s) else s
-    return len(s), m.tolist() if len(m) and len(m) >= similarity * len(s) else None
+    v, n = blocks_of(cut(vendored_shingles(texts.where("origin").select("k1", "k2", "content"))), block)
+    return copied_in_blocks(texts.where("not origin").select("k1", "k2", "content"), v, 0, n, overlap, similarity)
 
 
 # ---- mined patterns
@@ -327,12 +324,13 @@ def mined_patterns(judged: DataFrame, precision: float = 0.98, support: int = 20
     return g.where((F.col("files") >= support) & (F.col("repos") >= repos) & (F.col("hits") >= precision * F.col("files"))).select("pattern", "files", (F.col("hits") / F.col("files")).alias("share"))
 
 
-def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5, most_bits: int = 1 << 27) -> DataFrame:
+def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5, block: int = 4_000_000) -> DataFrame:
     """repo, path, reason (empty for hand-written source), evidence, pattern of every current file.
 
     ``reason``: declared generated, declared vendored, pattern, generated, minified, data, copied; the pattern that decides
     and what the contents say stand beside it. Contents are looked at where they are read and never shuffled: a first pass
-    takes the shingles of vendored texts, a second one gives each row its evidence; only short rows move on.
+    takes the shingles of vendored texts, a second one gives each row its evidence and compares it with the first ``block``
+    of those, further ones with further blocks; only short rows move on.
     """
     old = F.lit("0001-01-01").cast("timestamp")
     rows = files.where("repo is not null and path is not null").select(
@@ -341,41 +339,42 @@ def provenance(files: DataFrame, overlap: float = 0.8, similarity: float = 0.5,
         F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(5), "content").alias("k2"), "content",
     )
     v = cut(vendored_shingles(rows.where("vendored and content is not null and ext != 'md'").select("k1", "k2", "content")))
-    box = files.sparkSession.sparkContext.broadcast(shingle_bits(v, most_bits))
+    v, n = blocks_of(v, block)
+    box = files.sparkSession.sparkContext.broadcast(known_block(v, 0))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = box.value
+        known = box.value
         memo: dict[tuple, tuple] = {}
         for b in batches:
             out = []
             for k1, k2, ext, own, t in zip(b["k1"], b["k2"], b["ext"], b["vendored"], b["content"]):
                 if t is None or t == "" or ext == "md" or own:
-                    out.append(("", 0, None))
+                    out.append(("", False))
                     continue
                 key = (k1, k2, ext)
                 if key not in memo:
                     if len(memo) > 20_000:
                         memo.clear()
                     ev = content_evidence(t, ext)
-                    memo[key] = (ev, *((0, None) if ev else known_part(t, bits, similarity)))
+                    memo[key] = (ev, not ev and known.copied(t, overlap, similarity))
                 out.append(memo[key])
             b = b.drop(columns=["content"])
-            b["ev"], b["n"], b["maybe"] = ([o[i] for o in out] for i in range(3))
+            b["ev"], b["copied"] = ([o[i] for o in out] for i in range(2))
             yield b
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "content") + ", ev string, n int, maybe array<bigint>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "content") + ", ev string, copied boolean"
     seen = spread(rows).mapInPandas(look, schema)
-    # the current version of each file, in short rows; only texts that can be copies carry shingles
-    names = ["ext", "vendored", "k1", "k2", "ev", "n", "maybe"]
+    # the current version of each file, in short rows
+    names = ["ext", "vendored", "k1", "k2", "ev", "copied"]
     cur = cut(seen.groupBy("repo", "path").agg(F.max_by(F.struct(*names), "at").alias("c")).select("repo", "path", *[F.col(f"c.{c}").alias(c) for c in names]))
-    surv = cut(survivors(cur.where("maybe is not null").select("k1", "k2", "n", "maybe").dropDuplicates(["k1", "k2"]), v, similarity))
-    same = match_copies(surv, v, overlap, similarity).unionByName(v.select("k1", "k2")).distinct().withColumn("same", F.lit(True))
+    other = rows.where("not vendored and content is not null and ext != 'md'").select("k1", "k2", "content")
+    same = copied_in_blocks(other, v, 1, n, overlap, similarity).unionByName(v.select("k1", "k2")).distinct().withColumn("same", F.lit(True))
     attr_files = cut(current_files(files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))).select("repo", "path", "content"))
     said = declared(cur.select("repo", "path").join(attr_files, ["repo", "path"], "left"))
-    slim = cur.select("repo", "path", "ext", "vendored", "k1", "k2", "ev").join(same, ["k1", "k2"], "left").join(said, ["repo", "path"], "left")
+    slim = cur.join(same, ["k1", "k2"], "left").join(said, ["repo", "path"], "left")
     plain = F.col("ext") == "md"
-    found = F.when(F.col("vendored"), "vendored").when(plain, "").when(F.col("ev") != "", F.col("ev")).when(F.col("same"), "copied").otherwise("")
+    found = F.when(F.col("vendored"), "vendored").when(plain, "").when(F.col("ev") != "", F.col("ev")).when(F.col("copied") | F.col("same"), "copied").otherwise("")
     judged = cut(slim.select("repo", "path", "ext", "declared", found.alias("reason")))
     # patterns: a few, each backed by many files, looked up by name in the repositories that declare nothing
     pats = mined_patterns(judged.where(~plain))

@@ -60,7 +60,7 @@ def test_copies_equal_brute_force(spark):
     texts += [(200, "a b", False), (201, "", False), (202, source(77), False)]
     df = spark.createDataFrame(texts, "k1 long, content string, origin boolean").withColumn("k2", F.lit(0).cast("long"))
     got = {r.k1 for r in copies(df).collect()}
-    assert got == {r.k1 for r in copies(df, most_bits=1 << 15).collect()}
+    assert got == {r.k1 for r in copies(df, block=500).collect()}
     sets = {i: set(shingles(t).tolist()) for i, t, _ in texts}
     want = {i for i, _, o in texts if not o for j in range(6) if (x := sets[i] & sets[j]) and len(x) >= 0.8 * min(len(sets[i]), len(sets[j])) and len(x) >= 0.5 * len(sets[i] | sets[j])}
     assert got == want and want
