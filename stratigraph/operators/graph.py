@@ -2,7 +2,7 @@
 
 Ids compare without letter case and outer blanks; null or blank ids are no ids; of several rows of one node the last
 recorded counts, and a node deleted then is not there; repeated edges are one edge with the greatest confidence. Traversals go
-level by level with joins against a visited set; each level cuts its lineage, and the number of levels is bounded.
+level by level with joins against a visited set; each level cuts its lineage.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, pre_visit: bool = Tru
     return out
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """id, component (its least id) of nodes on cycles of two or more. ``edges``: a, b.
 
     Nodes without predecessor or successor are trimmed away first; on what is left, the least id is pushed forward until
@@ -61,7 +61,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     e = cut(edges.where("a != b").select("a", "b").distinct())
     out = None
-    for _ in range(max_rounds):
+    while True:  # each round takes a component out; ends when no edge is left
         while True:  # trim
             n = e.count()
             e2 = cut(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))

@@ -99,8 +99,13 @@ def coherence(scored: DataFrame, weight: float = 0.2) -> DataFrame:
     return x.select("id", "path", (F.col("score") + F.when((F.col("r") == 1) & (F.col("mf") > 0), weight * F.col("ms") * F.col("fs") / F.col("mf")).otherwise(0.0)).alias("score"))
 
 
-def rerank(scored: DataFrame, k: int) -> DataFrame:
+def saturate(scored: DataFrame) -> DataFrame:
     """Penalises paths, then halves each further pick of one file. ``scored``: id, path, score."""
     p = scored.select("id", "path", (F.col("score") * X.path_penalty(F.col("path"))).alias("score"))
     n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.round("score", 9)), "id"))
-    return top(p.withColumn("score", F.col("score") * F.pow(F.lit(0.5), n - 1)), k)
+    return p.withColumn("score", F.col("score") * F.pow(F.lit(0.5), n - 1))
+
+
+def rerank(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of the saturated scores."""
+    return top(saturate(scored), k)

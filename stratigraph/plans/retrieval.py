@@ -143,8 +143,7 @@ def r16_path_penalty(s, d):
 
 @query("w2_saturation", f"{_SC}, p AS (SELECT id, path, score * {_PEN} AS score FROM sc) SELECT id, round(score * pow(0.5, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, id) - 1), 6) AS score FROM p")
 def w2_saturation(s, d):
-    n = 1 << 30
-    return S.rerank(_scored(s, d), n).select("id", F.round("score", 6).alias("score"))
+    return S.saturate(_scored(s, d)).select("id", F.round("score", 6).alias("score"))
 
 
 @query("r17_rerank", f"{_SC}, p AS (SELECT id, path, score * {_PEN} AS score FROM sc), q AS (SELECT id, score * pow(0.5, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, id) - 1) AS score FROM p) SELECT id, round(score, 6) AS score FROM q ORDER BY round(q.score, 9) DESC, id LIMIT 15")

@@ -118,3 +118,13 @@ def test_nodes_and_edges(spark):
     assert {(r.from_id, r.to_id): r.confidence and round(r.confidence, 3) for r in e.collect()} == {("a", "c"): 0.7, ("a", "b"): None}
     assert [(r.src_symbol, r.dst_symbol) for r in G.hydrate(e, cur).collect()] == [("newName", "newName2")]
     assert {r.name for r in G.unique_names(cur, ["function"]).collect()} == {"newName", "newName2"}
+
+
+def test_linked_cycles_are_all_found(spark):
+    """Cycles that point to each other take a round each; none is left out."""
+    from stratigraph.operators.graph import strong_components
+
+    n = 4
+    rows = [(f"a{i}", f"b{i}") for i in range(n)] + [(f"b{i}", f"a{i}") for i in range(n)] + [(f"a{i}", f"a{i + 1}") for i in range(n - 1)]
+    got = {(r.id, r.component) for r in strong_components(spark.createDataFrame(rows, "a string, b string")).collect()}
+    assert got == {(f"{x}{i}", f"a{i}") for i in range(n) for x in "ab"}
